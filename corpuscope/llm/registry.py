@@ -2,9 +2,13 @@
 
 from corpuscope.llm.mixing import op4_entropy_mix
 from corpuscope.llm.resharding import op1_reshard
+from corpuscope.llm.simhash import op2_simhash
+from corpuscope.llm.wavelet import op3_wavelet
 
 QUERIES = {
     "op1_reshard": op1_reshard,
+    "op2_simhash": op2_simhash,
+    "op3_wavelet": op3_wavelet,
     "op4_entropy_mix": op4_entropy_mix,
 }
 
