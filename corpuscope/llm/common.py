@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but space and the five ASCII controls tab to carriage return.
 #: ``bytes.split()`` cuts UTF-8 text in exactly this way.
@@ -52,3 +53,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
 def n_words(column) -> F.Column:
     """The number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def plus(schema: T.StructType, ddl: str) -> T.StructType:
+    """A schema with the columns of ``ddl`` after its own."""
+    return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

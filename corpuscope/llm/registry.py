@@ -1,7 +1,9 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from corpuscope.llm.languages import op9_language
 from corpuscope.llm.mixing import op4_entropy_mix
 from corpuscope.llm.resharding import op1_reshard
+from corpuscope.llm.sentencepieces import op8_sentencepiece
 from corpuscope.llm.simhash import op2_simhash
 from corpuscope.llm.wavelet import op3_wavelet
 
@@ -10,6 +12,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_wavelet": op3_wavelet,
     "op4_entropy_mix": op4_entropy_mix,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
