@@ -2,9 +2,11 @@
 
 from corpuscope.llm.languages import op9_language
 from corpuscope.llm.mixing import op4_entropy_mix
+from corpuscope.llm.neighbours import op7_neighbours
 from corpuscope.llm.resharding import op1_reshard
 from corpuscope.llm.sentencepieces import op8_sentencepiece
 from corpuscope.llm.simhash import op2_simhash
+from corpuscope.llm.vector_copies import op10_vector_copies
 from corpuscope.llm.wavelet import op3_wavelet
 
 QUERIES = {
@@ -12,8 +14,10 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_wavelet": op3_wavelet,
     "op4_entropy_mix": op4_entropy_mix,
+    "op7_neighbours": op7_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
+    "op10_vector_copies": op10_vector_copies,
 }
 
 ORACLE_SQL: dict[str, str] = {}
