@@ -3,6 +3,7 @@
 from corpuscope.llm.languages import op9_language
 from corpuscope.llm.mixing import op4_entropy_mix
 from corpuscope.llm.neighbours import op7_neighbours
+from corpuscope.llm.pages import op6_pages
 from corpuscope.llm.resharding import op1_reshard
 from corpuscope.llm.sentencepieces import op8_sentencepiece
 from corpuscope.llm.simhash import op2_simhash
@@ -14,10 +15,22 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_wavelet": op3_wavelet,
     "op4_entropy_mix": op4_entropy_mix,
+    "op6_pages": op6_pages,
     "op7_neighbours": op7_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_vector_copies": op10_vector_copies,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_vector_copies": """
+        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept
+        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+    """,
+}
