@@ -4,6 +4,7 @@ from corpuscope.llm.languages import op9_language
 from corpuscope.llm.mixing import op4_entropy_mix
 from corpuscope.llm.neighbours import op7_neighbours
 from corpuscope.llm.pages import op6_pages
+from corpuscope.llm.repeats import op5_repeats
 from corpuscope.llm.resharding import op1_reshard
 from corpuscope.llm.sentencepieces import op8_sentencepiece
 from corpuscope.llm.simhash import op2_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_wavelet": op3_wavelet,
     "op4_entropy_mix": op4_entropy_mix,
+    "op5_repeats": op5_repeats,
     "op6_pages": op6_pages,
     "op7_neighbours": op7_neighbours,
     "op8_sentencepiece": op8_sentencepiece,
