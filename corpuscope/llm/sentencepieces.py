@@ -12,11 +12,12 @@ import re
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import plus, table
+from corpuscope.llm.common import table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -153,8 +154,8 @@ class Pieces:
             at = m.end()
         return ids + (self._run(chunk[at:]) if at < len(chunk) else [])
 
-    def _known(self, chunk: str) -> tuple[bytes, int, str]:
-        """A chunk's ids in decimal with commas, their number, and what they decode to inside a text."""
+    def _known(self, chunk: str) -> tuple[bytes, int, str, bytes]:
+        """A chunk's ids in decimal with commas, their number, what they decode to inside a text, and as 32-bit integers."""
         got = self.known.get(chunk)
         if got is None:
             if len(self.known) >= self.most:
@@ -162,7 +163,7 @@ class Pieces:
             if len(self.suits) >= 4 * self.most:
                 self.suits.clear()
             ids = self._chunk_ids(chunk)
-            got = self.known[chunk] = (",".join(map(str, ids)).encode(), len(ids), self.decode_part(ids))
+            got = self.known[chunk] = (",".join(map(str, ids)).encode(), len(ids), self.decode_part(ids), np.array(ids, "<i4").tobytes())
         return got
 
     def _chunks(self, text: str) -> list[str]:
@@ -231,17 +232,21 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """Adds ``ids`` (array of int) and ``decoded`` to ``docs``; columns of those names are replaced. Rules as above."""
+    """Per row of ``docs``: ``doc_id``, ``n_tokens``, ``ids`` (array of int) and ``decoded_sha256``. Rules as above."""
 
     def run(batches):
         use = pieces(model)
         for batch in batches:
-            ids = [use.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([use.decode(x) for x in ids], pa.string())], names=[*batch.schema.names, "ids", "decoded"])
-
-    docs = docs.drop("ids", "decoded")
-    schema = plus(docs.schema, "ids array<int>, decoded string")
-    return docs.mapInArrow(run, schema)
+            for k in range(0, batch.num_rows, 256):
+                piece = batch.slice(k, 256)
+                got = [[use._known(c) for c in use._chunks(t or "")] for t in piece.column(1).to_pylist()]
+                ids = [b"".join([g[3] for g in x]) for x in got]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                decoded = [sha256("".join([g[2] for g in x])[1:].encode()).hexdigest() for x in got]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
