@@ -70,7 +70,7 @@ _lines("bool_nested", "the (erin OR (when -that)) type:code", f"{_has('the')} AN
        f"{_has('the', 'text')} OR {_has('erin', 'text')} OR ({_has('when')} AND NOT {_has('that')} AND {_has('when', 'text')})")
 _lines("contributing_or_and", "(erin OR (when that)) type:code", f"{_has('erin')} OR ({_has('when')} AND {_has('that')})",
        f"{_has('erin', 'text')} OR ({_has('when')} AND {_has('that')} AND ({_has('when', 'text')} OR {_has('that', 'text')}))")
-_lines("file_regex", r"f:src1\d/doc_\d*7\. the type:code", f"regexp_matches(path, '(?i)src1\\d/doc_\\d*7\\.') AND {_has('the')}", _has("the", "text"))
+_lines("file_regex", r"f:src1\d/doc_[0-9]*7\. the type:code", f"regexp_matches(path, '(?i)src1\\d/doc_[0-9]*7\\.') AND {_has('the')}", _has("the", "text"))
 _lines("file_glob", "f:fr/**/doc_1*.txt la type:code", f"regexp_matches(path, '(?i)(^|/)fr/(.*/)?doc_1[^/]*\\.txt$') AND {_has('la')}", _has("la", "text"))
 _lines("repo_filter", "repo:^src[12]$ the type:code", f"regexp_matches(repo, '(?i)^src[12]$') AND {_has('the')}", _has("the", "text"))
 _lines("lang_filter", "lang:de und type:code", f"lang = 'de' AND {_has('und')}", _has("und", "text"))
