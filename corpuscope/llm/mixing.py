@@ -20,22 +20,22 @@ from corpuscope.llm.common import kept, n_words, table
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
-    """Adds ``target`` to (``src``, ``words``): the share of all words by weight, at most ``most`` times the source's
+    """Adds ``target`` to (``_src``, ``words``): the share of all words by weight, at most ``most`` times the source's
     words, the excess shared again by weight among the others until none is above.
 
-    Sources in order of ``src`` take the weights in turn. The end of the resharing is a water level: with ratios
+    Sources in order of ``_src`` take the weights in turn. The end of the resharing is a water level: with ratios
     ``most * words / weight`` in ascending order, sources below the level are full and the others get level * weight.
     """
-    order = Window.orderBy("src")
+    order = Window.orderBy("_src")
     rank = (F.row_number().over(order) - 1) % len(weights)
     ranked = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), rank.cast("int") + 1)).withColumn("cap", F.col("words") * F.lit(float(most)))
-    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "src")
+    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "_src")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy()
     level = (F.sum("words").over(all_rows) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     leveled = ranked.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    final = F.min(F.when(F.col("open"), F.struct("ratio", "src", "level"))).over(all_rows)
-    return leveled.withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("final", final["level"]).withColumn("target", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("weight")))).select("src", "words", "target")
+    final = F.min(F.when(F.col("open"), F.struct("ratio", "_src", "level"))).over(all_rows)
+    return leveled.withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("final", final["level"]).withColumn("target", F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("weight")))).select("_src", "words", "target")
 
 
 def tilted(sources: DataFrame, most: float, steps: int = 64) -> DataFrame:
@@ -50,10 +50,10 @@ def tilted(sources: DataFrame, most: float, steps: int = 64) -> DataFrame:
 
 
 def extra_copies(cells: DataFrame, most: float, rounds: int = 3) -> DataFrame:
-    """From (``src``, ``size``, ``n``, ``target``, ``rate``), one row a size of a source, to ``base``, the copies of
+    """From (``_src``, ``size``, ``n``, ``target``, ``rate``), one row a size of a source, to ``base``, the copies of
     every document, and ``extra``, how many documents get one more."""
-    down = Window.partitionBy("src").orderBy(F.desc("size"))
-    upto, before, whole = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("src")
+    down = Window.partitionBy("_src").orderBy(F.desc("size"))
+    upto, before, whole = down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("_src")
     base = F.floor("rate")
     part = F.col("n") * (F.col("rate") - F.floor("rate"))
     cells = cells.withColumn("base", base).withColumn("passed", F.floor(F.sum(part).over(upto) + 0.5))
@@ -67,7 +67,7 @@ def extra_copies(cells: DataFrame, most: float, rounds: int = 3) -> DataFrame:
         rest = F.abs("lack") - F.coalesce(F.sum(F.col("room") * F.col("size")).over(before), F.lit(0))
         step = F.greatest(F.lit(0), F.least(F.col("room"), F.floor(rest / F.greatest(F.col("size"), F.lit(1)))))
         cells = cells.withColumn("extra", F.col("extra") + F.signum("lack").cast("long") * F.coalesce(step, F.lit(0)))
-    return cells.select("src", "size", "n", "base", "extra")
+    return cells.select("_src", "size", "n", "base", "extra")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, bins: int = 64) -> DataFrame:
@@ -83,22 +83,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     ``bins`` slices of a size of a source, and windows by source run over one row for each distinct size.
     """
     added = ("size", "source_size", "target", "copies", "taken")
-    docs = docs.drop(*added, "src", "bin", "rank")
+    docs = docs.drop(*added)
     src = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source")))
-    sized = docs.withColumns({"size": n_words(F.col("text")), "src": src, "bin": F.pmod(F.xxhash64("doc_id"), F.lit(bins))})
-    narrow = sized.select("src", "size", "bin")
-    slices, _ = kept(narrow.groupBy("src", "size", "bin").agg(F.count("*").alias("k")), "mix-slices")
-    cells = slices.groupBy("src", "size").agg(F.sum("k").alias("n"))
-    sources = cells.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
+    sized = docs.withColumns({"size": n_words(F.col("text")), "_src": src, "_bin": F.pmod(F.xxhash64("doc_id"), F.lit(bins))})
+    narrow = sized.select("_src", "size", "_bin")
+    slices, _ = kept(narrow.groupBy("_src", "size", "_bin").agg(F.count("*").alias("k")), "mix-slices")
+    cells = slices.groupBy("_src", "size").agg(F.sum("k").alias("n"))
+    sources = cells.groupBy("_src").agg(F.sum(F.col("n") * F.col("size")).alias("words"))
     rates = tilted(targets(sources, weights, most), most)
-    cells = extra_copies(cells.join(rates, "src"), most)
-    in_cell = Window.partitionBy("src", "size").orderBy("bin")
-    slices = slices.join(cells, ["src", "size"]).withColumn("upto", F.sum("k").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = extra_copies(cells.join(rates, "_src"), most)
+    in_cell = Window.partitionBy("_src", "size").orderBy("_bin")
+    slices = slices.join(cells, ["_src", "size"]).withColumn("upto", F.sum("k").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)))
     share = lambda x: F.expr(f"({x}) * extra div n")
-    slices = slices.withColumn("more", share("upto") - share("upto - k")).select("src", "size", "bin", "base", "more")
-    rank = F.row_number().over(Window.partitionBy("src", "size", "bin").orderBy("doc_id"))
-    copies = F.col("base") + F.when(F.col("rank") <= F.col("more"), F.lit(1)).otherwise(F.lit(0))
-    out = sized.withColumn("rank", rank).join(slices, ["src", "size", "bin"]).join(rates.select("src", F.col("words").alias("source_size"), "target"), "src")
+    slices = slices.withColumn("more", share("upto") - share("upto - k")).select("_src", "size", "_bin", F.col("base").alias("_base"), F.col("more").alias("_more"))
+    rank = F.row_number().over(Window.partitionBy("_src", "size", "_bin").orderBy("doc_id"))
+    copies = F.col("_base") + F.when(F.col("_rank") <= F.col("_more"), F.lit(1)).otherwise(F.lit(0))
+    out = sized.withColumn("_rank", rank).join(slices, ["_src", "size", "_bin"]).join(rates.select("_src", F.col("words").alias("source_size"), "target"), "_src")
     out = out.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
     return out.select(*docs.columns, *added)
 

@@ -151,13 +151,13 @@ def text_size(text) -> F.Column:
 
 
 def placed(docs: DataFrame, old_shards: int, blocks: int, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``old_shard`` and ``block``, both from a hash of the id."""
+    """Adds ``_old_shard`` and ``_block``, both from a hash of the id."""
     h = F.xxhash64(id_col)
-    return docs.withColumn("old_shard", F.pmod(h, F.lit(old_shards)).cast("int")).withColumn("block", F.pmod(F.floor(h / old_shards), F.lit(blocks)).cast("int"))
+    return docs.withColumn("_old_shard", F.pmod(h, F.lit(old_shards)).cast("int")).withColumn("_block", F.pmod(F.floor(h / old_shards), F.lit(blocks)).cast("int"))
 
 
 def block_sizes(docs: DataFrame) -> list[tuple[int, int, int, int]]:
-    rows = docs.groupBy("old_shard", "block").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
+    rows = docs.groupBy("_old_shard", "_block").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()
     return sorted(tuple(r) for r in rows)
 
 
@@ -165,24 +165,24 @@ def rewrite(docs: DataFrame, plan: Plan, path: str, file_bytes: int = 128 << 20,
     """Writes the rows of new shards under ``path`` (one folder a shard, files of about ``file_bytes``) and reads
     them back, with columns ``shard`` and ``slot``.
 
-    ``docs`` has ``old_shard``, ``block`` and ``size``. With ``only`` (say ``plan.affected``) just those shards'
+    ``docs`` has ``_old_shard``, ``_block`` and ``size``. With ``only`` (say ``plan.affected``) just those shards'
     folders are replaced, and only rows of blocks that end there are read. Rows of a shard are in order of block and
     ``doc_id``; a slot is the row's place in that order.
     """
     spark = docs.sparkSession
-    schema = "old_shard int, block int, shard int, first_slot long, file int"
+    schema = "_old_shard int, _block int, shard int, _first_slot long, _file int"
     rows, filled = [], {}
     for old, block, _, size, shard, slot in plan.blocks:
         if only is None or shard in only:
             rows.append((old, block, shard, slot, filled.get(shard, 0) // file_bytes))
             filled[shard] = filled.get(shard, 0) + size
-    frame = pd.DataFrame(rows, columns=["old_shard", "block", "shard", "first_slot", "file"])
+    frame = pd.DataFrame(rows, columns=["_old_shard", "_block", "shard", "_first_slot", "_file"])
     # at most old_shards * blocks rows, a bound set by parameters
     moves = spark.createDataFrame(frame, schema) if rows else spark.createDataFrame([], schema)
     n_files = max(1, len({(r[2], r[4]) for r in rows}))
     order = [c for c in ("doc_id", "size", "text_crc32") if c in docs.columns]
-    out = docs.join(F.broadcast(moves), ["old_shard", "block"]).repartition(n_files, "shard", "file")
-    out = out.withColumn("slot", F.col("first_slot") + F.row_number().over(Window.partitionBy("shard", "file", "block", "old_shard").orderBy(*order)) - 1).drop("first_slot", "file", "block", "old_shard")
+    out = docs.join(F.broadcast(moves), ["_old_shard", "_block"]).repartition(n_files, "shard", "_file")
+    out = out.withColumn("slot", F.col("_first_slot") + F.row_number().over(Window.partitionBy("shard", "_file", "_block", "_old_shard").orderBy(*order)) - 1).drop("_first_slot", "_file", "_block", "_old_shard")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(T.StructType(out.schema.fields)).parquet(path)
 
@@ -192,10 +192,9 @@ def reshard(docs: DataFrame, path: str, old_shards: int, shards: int, blocks: in
 
     A document's size is the UTF-8 bytes of its text plus 16; a null text has no bytes. Nulls and repeats in any
     column are kept as they are: rows with the same id share a block, a null id hashes like any other. An empty
-    table gives no rows. Columns of ``docs`` named like those added here (``size``, ``old_shard``, ``block``,
-    ``shard``, ``slot``) are replaced.
+    table gives no rows. Columns of ``docs`` named ``size``, ``shard`` or ``slot`` are replaced.
     """
-    docs = docs.drop("size", "old_shard", "block", "shard", "slot", "first_slot", "file")
+    docs = docs.drop("size", "shard", "slot")
     laid = placed(docs.withColumn("size", text_size(F.col("text"))), old_shards, blocks)
     plan = plan_moves(block_sizes(laid), shards)
     return rewrite(laid, plan, path, **more), plan
