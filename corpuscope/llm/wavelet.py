@@ -142,7 +142,7 @@ class Encoder:
     """Ids of whole texts by the tokenizers library. Chunks that were seen stay in a cache of at most ``most`` entries,
     so the library encodes each frequent word once per process."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
