@@ -369,3 +369,8 @@ def word_edges(literal: str) -> str:
 def holds_text(text: Column, literal: str, exact: bool) -> Column:
     """Whether a text has a literal. Ignoring case folds as Unicode does, which lower() does not."""
     return F.contains(text, F.lit(literal)) if exact else text.rlike(FOLD + quoted(literal))
+
+
+def spans_lines(source: str) -> bool:
+    """Whether a regular expression is written to match over line ends: it names one outside classes that leave it out."""
+    return bool(re.search(r"(?<!\\)(?:\\\\)*\\n|\n", re.sub(r"\[\^[^\]]*\]", "", source)))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscope.functions import languages
-from corpuscope.functions.patterns import FOLD, excludes_glob, owners_glob, quoted
+from corpuscope.functions.patterns import FOLD, excludes_glob, owners_glob, quoted, regex, spans_lines
+from corpuscope.operators import structure
 from corpuscope.plans.compiler import Settings, Terms, all_of, any_of, condition, conjuncts, contributing, filter_reason, text_lines, truth, yes
 from corpuscope.plans.query import MOST_RESULTS, Node, Query, parse
 
@@ -114,9 +115,9 @@ class FileSearch:
         if node.op == "ref":
             return F.contains(F.col("content"), F.lit(node.value)) & self.uses(node)
         if node.op == "struct":
-            from corpuscope.operators.structure import find_column
-
-            return F.size(find_column(F.col("content"), F.col("lang"), node.value)) > 0
+            return F.size(structure.find_column(F.col("content"), F.col("lang"), node.value)) > 0
+        if node.form == "regex" and spans_lines(node.value):
+            return F.col("content").rlike("(?m)" + self.terms.java(node))
         return self.terms.in_text(node, F.col("content"))
 
     def name_leaf(self, node: Node, negated: bool) -> Column:
@@ -178,9 +179,11 @@ class FileSearch:
         match."""
         terms = self._line_terms()
         if any(n.op == "struct" for n in terms):
-            from corpuscope.operators.structure import structure_lines
-
-            return structure_lines(self, terms)
+            return structure.structure_lines(self, terms)
+        if "in" in self.query.options or self.query.left_out_places:
+            return self._placed_lines(terms)
+        if any(n.form == "regex" and regex(n.value).newline and spans_lines(n.value) for n in terms):
+            return structure.multiline_lines(self, terms)
         contrib = contributing(self.query.root, self.text_leaf, self._is_term)
         # A conjunction's terms all contribute wherever the file matches; flags are needed only where OR leaves a choice.
         choice = self.query.root is not None and any(n.kind == "or" for n in self.query.root.walk())
@@ -192,6 +195,15 @@ class FileSearch:
         hits = [(F.col(f"_c{n.term}") if choice else F.lit(True)) & self._line_hit(n, F.col("text"), F.col("line")) for n in terms]
         return df.where(any_of(hits)).select(*keep, "line", "text")
 
+    def _placed_lines(self, terms: list[Node]) -> DataFrame:
+        """Lines with a match in the wanted places: comments, strings or code."""
+        wanted = (self.query.options["in"],) if "in" in self.query.options else ()
+        spans = [structure.matches_in(F.col("content"), F.col("lang"), self.terms.java(n), wanted, self.query.left_out_places) for n in terms]
+        df = self.matching().select("repo", "repo_ord", "path", "lang", "content", F.concat(*spans).alias("spans")).where(F.size("spans") > 0)
+        before = lambda s: F.length(F.regexp_replace(F.substring(F.col("content"), F.lit(1), s["start"]), "[^\n]", "")) + 1
+        df = df.select("repo", "repo_ord", "path", "lang", text_lines(F.col("content")).alias("all"), F.explode(F.array_distinct(F.transform("spans", before))).alias("line"))
+        return df.select("repo", "repo_ord", "path", "lang", "line", F.element_at("all", F.col("line")).alias("text"))
+
     def names(self) -> DataFrame:
         """File names: files whose path matches the query's words."""
         df = self.visible(self.files)

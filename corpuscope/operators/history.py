@@ -17,11 +17,15 @@ from corpuscope.plans.query import MOST_RESULTS, Node, Query, parse
 @dataclass
 class History:
     """``commits``: repo, repo_ord, store_ord, sha, author_name, author_email, landed, subject, body.
-    ``changes``: repo, sha, path, old_path, now_path, lines (array of sign and text)."""
+    ``changes``: sha, path, old_path, now_path, lines (array of sign and text), and repo unless a sha tells it."""
 
     commits: DataFrame
     changes: DataFrame
 
+    @property
+    def keys(self) -> list[str]:
+        return ["repo", "sha"] if "repo" in self.changes.columns else ["sha"]
+
 
 class CommitSearch:
     """One query over a history. A commit matches if one of its changed files does, with the commit's own facts."""
@@ -92,7 +96,7 @@ class CommitSearch:
         for kid in self.kids:
             if self._commit_only(kid):
                 commits = commits.where(truth(kid, self.leaf))
-        return commits.join(self.history.changes, ["repo", "sha"], "left")
+        return commits.join(self.history.changes, self.history.keys, "left")
 
     def _matching_views(self) -> DataFrame:
         df = self.views
@@ -128,7 +132,7 @@ class CommitSearch:
         """``filter``, ``hidden``: commits that do not match, by the first filter without which one of their files would."""
         filters = [(k, n) for k, n in enumerate(self.kids) if filter_reason(n)]
         flags = [yes(truth(n, self.leaf)).alias(f"_k{k}") for k, n in enumerate(self.kids)]
-        df = self.history.commits.join(self.history.changes, ["repo", "sha"], "left").select("repo", "sha", *flags)
+        df = self.history.commits.join(self.history.changes, self.history.keys, "left").select("repo", "sha", *flags)
         every = [F.col(f"_k{k}") for k in range(len(self.kids))]
         without = [F.bool_or(all_of([c for j, c in enumerate(every) if j != k])).alias(f"_w{k}") for k, _ in filters]
         per = df.groupBy("repo", "sha").agg(F.bool_or(all_of(every)).alias("_all"), *without).where("NOT _all")
@@ -145,7 +149,7 @@ class CommitSearch:
 def newest_touch(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """For each path the newest commit, by the store's order, that touched it."""
     facts = commits.select("repo", "sha", "store_ord", "author_name", "landed")
-    return changes.join(facts, ["repo", "sha"]).groupBy("repo", "path").agg(F.min_by(F.struct("sha", "author_name", "landed"), "store_ord").alias("t")).select("repo", "path", "t.*")
+    return changes.join(facts, History(commits, changes).keys).groupBy("repo", "path").agg(F.min_by(F.struct("sha", "author_name", "landed"), "store_ord").alias("t")).select("repo", "path", "t.*")
 
 
 def as_of(commits: DataFrame, when: Column) -> DataFrame:

@@ -128,6 +128,8 @@ def find_structures(text: str, lang: str, source: str, budget: int = 2_000_000)
     return found, left[0] >= 0
 
 
+#: Further lines shown of a match over line ends.
+MOST_SHOWN = 10
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -288,3 +290,23 @@ def fuzzy_score(name: str, word: str) -> int | None:
                     now[i] = max(before) + own
         best = now
     return max(best.values(), default=None)
+
+
+def multiline_lines(search, terms) -> DataFrame:
+    """Matches over line ends, each on its first line, joined where their lines overlap, with up to ``MOST_SHOWN`` further lines."""
+    flags = re.M | (0 if search.terms.exact else re.I)
+    patterns = [re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", search.terms.java(n).split(")", 1)[1]).replace("\\z", "$"), flags) for n in terms]
+
+    @F.pandas_udf("array<struct<line:int,text:string>>")
+    def find(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            rows = []
+            lines = (text or "").replace("\r\n", "\n").split("\n")
+            for p in patterns:
+                rows += [{"line": a, "text": "\n".join(lines[a - 1 : min(b, a + MOST_SHOWN)])} for _, _, a, b in multiline_spans(text or "", p)]
+            out.append(rows)
+        return pd.Series(out)
+
+    df = search.matching().select("repo", "repo_ord", "path", "lang", F.explode(find("content")).alias("m"))
+    return df.select("repo", "repo_ord", "path", "lang", "m.line", "m.text")

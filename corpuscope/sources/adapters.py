@@ -45,7 +45,7 @@ def order_history(spark: SparkSession, sf_dir: str) -> History:
     path = F.concat(F.regexp_replace("p_type", " ", "/"), F.lit("/part_"), F.col("p_partkey"), F.lit(".py"))
     text = F.concat_ws(" ", "p_name", F.col("l_quantity").cast("int").cast("string"))
     changes = items.join(part, items.l_partkey == part.p_partkey).select(F.hex("l_orderkey").alias("sha"), path.alias("path"), F.array(F.struct(sign.alias("sign"), text.alias("text"))).alias("lines"))
-    changes = changes.join(commits.select("repo", "sha"), "sha").select("repo", "sha", "path", F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("string").alias("now_path"), "lines")
+    changes = changes.select("sha", "path", F.lit(None).cast("string").alias("old_path"), F.lit(None).cast("string").alias("now_path"), "lines")
     return History(commits, changes)
 
 
