@@ -25,6 +25,18 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_repeats": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+        g AS (SELECT doc_id, i, string_agg(word, ' ') OVER n13 AS t, count(*) OVER n13 AS n FROM p
+              WINDOW n13 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+        m AS (SELECT t, min(doc_id) AS first FROM g WHERE n = 13 GROUP BY t),
+        hit AS (SELECT g.doc_id, g.i FROM g JOIN m USING (t) WHERE g.n = 13 AND m.first < g.doc_id),
+        gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit, range(0, 13) r(k)),
+        k AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS t FROM p ANTI JOIN gone USING (doc_id, i) GROUP BY p.doc_id)
+        SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
     "op10_vector_copies": """
         WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
         ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
