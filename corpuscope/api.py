@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions import dates, languages
 from corpuscope.operators.files import Corpus, FileSearch
-from corpuscope.operators.history import CommitSearch, History
+from corpuscope.operators.history import CommitSearch, History, as_of
 from corpuscope.plans.compiler import Settings
 from corpuscope.plans.query import MOST_RESULTS, OPERATORS, RETIRED, Query, parse
 
@@ -26,9 +27,28 @@ class Answer:
     search: FileSearch | CommitSearch
 
 
-def search(text: str, corpus: Corpus | None = None, history: History | None = None, settings: Settings | None = None, offset: int = 0) -> Answer:
-    """Runs a query over current files or, where it says so, over commits."""
+def at_revision(value: str, trees: DataFrame, history: History, tags: DataFrame | None, settings: Settings) -> DataFrame:
+    """The files that ``at:`` names: of the newest commits up to the end of a period, or of a tag or commit in each repo. ``trees``: repo, sha, path, content; ``tags``: repo, name, sha."""
+    if dates.is_window(value):
+        when = min(dates.until(settings.now, value), settings.now)
+        chosen = as_of(history.commits, F.lit(when)).select("repo", "sha")
+    else:
+        named = history.commits.where(F.startswith("sha", F.lit(value))).select("repo", "sha") if tags is None else tags.where(F.col("name") == value).select("repo", "sha")
+        chosen = named
+    files = trees.join(chosen, ["repo", "sha"])
+    return files.withColumn("lang", languages.detect(F.col("path"), F.col("content"))).drop("sha")
+
+
+def search(
+    text: str, corpus: Corpus | None = None, history: History | None = None, settings: Settings | None = None, offset: int = 0, trees: DataFrame | None = None, tags: DataFrame | None = None
+) -> Answer:
+    """Runs a query over current files, over files of the past with ``at:``, or, where it says so, over commits."""
     query = parse(text)
+    if "at" in query.options:
+        if trees is None or history is None:
+            raise ValueError("at: needs the trees of revisions and a history")
+        files = at_revision(query.options["at"], trees, history, tags, settings or Settings())
+        corpus = Corpus(files, corpus.owners if corpus else None, corpus.excludes if corpus else [])
     if query.commits:
         if history is None:
             raise ValueError("this query searches commits and no history is given")

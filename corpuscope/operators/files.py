@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscope.functions import languages
-from corpuscope.functions.patterns import FOLD, excludes_glob, owners_glob, quoted, regex, spans_lines
+from corpuscope.functions.patterns import FOLD, excludes_glob, owners_glob, quoted, regex, spans_lines, word_edges
 from corpuscope.operators import structure
 from corpuscope.plans.compiler import Settings, Terms, all_of, any_of, condition, conjuncts, contributing, filter_reason, text_lines, truth, yes
 from corpuscope.plans.query import MOST_RESULTS, Node, Query, parse
 
+# What a line's match adds on a page, and the most that a file's lines add.
+WHOLE_WORD, AS_TYPED, MOST_QUALITY = 3, 1, 15
 #: Columns a corpus may leave out, and what stands for them.
 DEFAULTS = {
     "repo_ord": "0", "last_at": "CAST(NULL AS timestamp)", "dirty": "false", "open": "false", "last_author": "CAST(NULL AS string)",
@@ -269,6 +271,42 @@ class FileSearch:
         size = MOST_RESULTS if count == "all" else int(count) if count else self.settings.count
         return self.ordered().offset(offset).limit(size)
 
+    def quality(self) -> Column:
+        """How well a line's match fits: as a whole word, and in the case it was typed in."""
+        words = [n for n in self._line_terms() if n.form != "regex" and n.op != "struct"]
+        whole = any_of([F.col("text").rlike(FOLD + word_edges(n.value)) for n in words])
+        as_typed = any_of([F.contains(F.col("text"), F.lit(n.value)) for n in words])
+        return F.when(yes(whole), WHOLE_WORD).otherwise(0) + F.when(yes(as_typed), AS_TYPED).otherwise(0)
+
+    def regrouped(self, page: DataFrame) -> DataFrame:
+        """A page by rank with each file's lines together, and files of a section by score and how well their lines on this page fit."""
+        files = self.files.select("repo", "path", self.score().alias("_score"))
+        sums = F.least(F.sum(self.quality()).over(Window.partitionBy("section", "repo", "path")), F.lit(MOST_QUALITY))
+        page = page.select("section", "repo", "repo_ord", "path", "lang", "line", "text").join(files, ["repo", "path"]).withColumn("_fit", F.col("_score") + sums)
+        return page.orderBy("section", F.desc("_fit"), "repo_ord", "path", "line").drop("_score", "_fit")
+
+    def shown(self, page: DataFrame, around: int | None = None) -> DataFrame:
+        """A page of lines with ``hits`` (UTF-16 start and end of every match, with its term), the text ``clipped`` around the first, and the lines ``before`` and ``after``.
+        Only the page's files are read again."""
+        around = self.settings.context if around is None else around
+        content = self.files.select("repo", "path", text_lines(F.col("content")).alias("_all"))
+        page = page.join(content, ["repo", "path"], "left")
+        near = lambda a, n: F.when(F.col("line").isNotNull() & (n > 0), F.slice("_all", a, n)).otherwise(F.array().cast("array<string>"))
+        first = F.greatest(F.col("line") - around, F.lit(1))
+        page = page.withColumn("before", near(first, F.col("line") - first)).withColumn("after", near(F.col("line") + 1, F.lit(around)))
+        marks = structure.highlight_column(F.col("text"), [(n.term, self.terms.java(n)) for n in self._line_terms() if n.op != "struct"])
+        return page.drop("_all").withColumn("_m", marks).withColumn("hits", F.col("_m.hits")).withColumn("clipped", F.col("_m.clipped")).drop("_m")
+
+    def symbols_as_text(self) -> int | None:
+        """How many results the query would have with its symbol: values as plain words; None if it has none."""
+        names = [n for n in self.query.root.walk() if n.op == "symbol"] if self.query.root else []
+        if not names:
+            return None
+        text = self.query.text
+        for n in sorted(names, key=lambda n: -n.start):
+            text = text[: n.start] + (f"/{n.value}/" if n.form == "regex" else f'"{n.value}"' if n.form == "phrase" else n.value) + text[n.end :]
+        return FileSearch(self.corpus, text, self.settings).results().limit(MOST_RESULTS + 1).count()
+
     def score(self) -> Column:
         """A file's rank: it defines a searched name, its name has a word, it is open or lately changed; tests,
         vendored, generated and hidden files go down, by the gravest of these only."""

@@ -130,6 +130,8 @@ def find_structures(text: str, lang: str, source: str, budget: int = 2_000_000)
 
 #: Further lines shown of a match over line ends.
 MOST_SHOWN = 10
+#: Matches marked in a line; characters a line is cut to, and how many of them stand before the first match.
+MOST_HITS, CLIPPED, LEAD = 800, 400, 80
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -310,3 +312,24 @@ def multiline_lines(search, terms) -> DataFrame:
 
     df = search.matching().select("repo", "repo_ord", "path", "lang", F.explode(find("content")).alias("m"))
     return df.select("repo", "repo_ord", "path", "lang", "m.line", "m.text")
+
+
+def highlight_column(text: Column, terms: list[tuple[int, str]]) -> Column:
+    """All matches of terms (number, Java pattern) in a line as UTF-16 spans, and the line cut to ``CLIPPED`` characters from ``LEAD`` before the first match."""
+    python = lambda p: re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", re.sub(r"^\(\?[a-z]+\)", "", p)).replace("\\z", r"\Z").replace(r"\p{L}\p{Nd}_", r"\w"), re.I if "i" in p[:6] else 0)
+    compiled = [(k, python(p)) for k, p in terms]
+
+    @F.pandas_udf("struct<hits:array<struct<start:int,end:int,term:int>>,clipped:string>")
+    def run(lines: pd.Series) -> pd.DataFrame:
+        hits, clipped = [], []
+        for line in lines:
+            found = [] if line is None else sorted((m.start(), m.end(), k) for k, p in compiled for m in p.finditer(line) if m.end() > m.start())
+            wide = (lambda i, x=line: i) if line is None or line.isascii() else (lambda i, x=line: len(x[:i].encode("utf-16-le")) // 2)
+            hits.append([{"start": wide(a), "end": wide(b), "term": k} for a, b, k in found[:MOST_HITS]])
+            if line is not None and len(line) > CLIPPED:
+                begin = max(0, (found[0][0] if found else 0) - LEAD)
+                line = ("\u2026" if begin else "") + line[begin : begin + CLIPPED] + ("\u2026" if begin + CLIPPED < len(line) else "")
+            clipped.append(line)
+        return pd.DataFrame({"hits": hits, "clipped": clipped})
+
+    return run(text)

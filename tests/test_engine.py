@@ -240,3 +240,35 @@ def test_queries_against_duckdb(spark, name):
 def test_filters_reach_the_scan(spark):
     plan = queries.QUERIES["lang_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(lang,de)" in plan
+
+
+def test_page_details(corpus):
+    search = FileSearch(corpus, "retry type:code", Settings(now=NOW))
+    page = search.page()
+    got = [(r.path, r.line) for r in search.regrouped(page).collect()]
+    assert got[:3] == [("src/retry.ts", 1), ("src/retry.ts", 2), ("src/retry.ts", 3)] and got[-1][0] == "src/retry_test.py" and len(got) == 7
+    row = search.shown(page, around=1).where("path = 'src/retry.ts' AND line = 3").first()
+    assert [(h.start, h.end) for h in row.hits] == [(18, 23)] and row.before == ["export function retry(n) {"] and row.after == ["}"]
+
+
+def test_highlights(spark):
+    df = spark.createDataFrame([("😀 aa a",), (None,), ("x" * 500 + "a" + "y" * 500,)], "t string")
+    got = [r[0] for r in df.select(structure.highlight_column(df.t, [(0, "(?iud)a+")])).collect()]
+    assert [(h.start, h.end) for h in got[0].hits] == [(3, 5), (6, 7)] and got[0].clipped == "😀 aa a"
+    assert got[1].hits == [] and got[1].clipped is None
+    assert len(got[2].clipped) == 402 and got[2].clipped[81] == "a"
+
+
+def test_symbols_as_text(corpus):
+    assert FileSearch(corpus, "sym:helper").symbols_as_text() == 1 and FileSearch(corpus, "helper").symbols_as_text() is None
+
+
+def test_at(spark, history):
+    from corpuscope import api
+
+    trees = spark.createDataFrame([("app", "c1", "a.py", "old text"), ("app", "c2", "a.py", "new text"), ("lib", "d1", "b.py", "lib text")], "repo string, sha string, path string, content string")
+    tags = spark.createDataFrame([("app", "v1", "c1")], "repo string, name string, sha string")
+    at = lambda q, **k: sorted((r.path, r.text) for r in api.search(q, history=history, trees=trees, settings=Settings(now=NOW), **k).items.collect() if r.text)
+    assert at("text at:2026-09-29") == [("a.py", "old text")]
+    assert at("text at:2026-10") == [("a.py", "new text"), ("b.py", "lib text")]
+    assert at("text at:v1", tags=tags) == [("a.py", "old text")] and at("text at:c2") == [("a.py", "new text")]
