@@ -34,7 +34,8 @@ _RAW = frozenset("script style noscript template iframe svg math object canvas a
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("nav footer aside form menu dialog button search".split())
-_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond disqus footer login signup signin pagination pager skip".split())
+_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation sidebar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments reply replies respond disqus footer login signup signin pagination pager skip masthead topbar toolbar copyright teaser teasers adsense adslot".split())
+_MAIN_NAMES = frozenset("article content post entry story main article-body article-content post-body post-content entry-content story-body main-content".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
@@ -42,21 +43,24 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def _apart(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is a part besides the text, and whether it holds the main text by its attributes."""
-    apart, main = name in _APART, False
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if key in ("class", "id"):
-                apart = apart or not _NAMES.isdisjoint(re.split(r"[^a-z]+", value))
-            elif key == "role":
-                apart, main = apart or value in _ROLES, main or value == "main"
-            elif key == "itemprop":
-                main = main or value == "articlebody"
-            elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "aria-hidden" and value == "true"):
-                apart = True
-    return apart, main
+def _part(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """What an element is by its name and attributes: a part besides the text, a header, and the place it opens: ``article``,
+    ``main`` or none."""
+    apart, header, place = name in _APART, name == "header", name if name in ("article", "main") else ""
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if key in ("class", "id"):
+            words = re.split(r"[^a-z]+", value)
+            apart, header = apart or not _NAMES.isdisjoint(words), header or "header" in words
+            if not place and not _MAIN_NAMES.isdisjoint(value.split()):
+                place = "main"
+        elif key == "role":
+            apart, place = apart or value in _ROLES, place or ("main" if value == "main" else "")
+        elif key == "itemprop" and value == "articlebody":
+            place = "article"
+        elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)) or (key == "aria-hidden" and value == "true"):
+            apart = True
+    return apart, header, place
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -100,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
         elif not m[4]:
             break
         elif name in _RAW:
-            if name not in ("head", "title") or name == "title":
+            if name != "head":
                 close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 if not m[3].endswith("/") or name not in ("svg", "math"):
                     at = close.end() if close else n
@@ -114,12 +118,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
             elif name in ("body", "article", "main"):
                 while stack and stack[-1][0] == "p":
                     stack.pop()
-            besides, holds = _apart(name, m[3])
-            inner = "article" if name == "article" or holds and place != "main" else "main" if name == "main" or holds else stack[-1][2] if stack else "open"
-            if inner == "main" and stack and stack[-1][2] == "article":
-                inner = "article"
-            if name == "header":  # a page's header is a part besides; an article's own has its title
-                besides = besides or inner == "open"
+            besides, header, opens = _part(name, m[3])
+            around = stack[-1][2] if stack else "open"
+            inner = around if around == "article" or not opens else opens
+            # a page's header is a part besides; that of an article or the main part has its title
+            besides = besides or (header and inner == "open")
             stack.append((name, besides or (stack[-1][1] if stack else False), inner))
         else:
             continue

@@ -134,6 +134,22 @@ def test_blocks():
     assert [t for w, t in pages.blocks("<main><h1>x</h1><p>y</main><p>z") if w == "main"] == ["x", "y"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="site-header">Top</div><div class="content"><div class="article-header"><h1>T</h1></div><p>a</p><div class="share-bar">s</div></div><div>end</div>', ["T", "a"]),
+        ('<div id="cookie-notice">c</div><main><p>a</p><section class="comments"><p>no</p></section></main>', ["a"]),
+        ('<main><div>lead</div><article><header><h1>T</h1></header><p>a</p><footer>f</footer></article></main>', ["T", "a"]),
+        ('<article>a</article><article class="related">no</article><p>x</p>', ["a"]),
+        ('<div itemprop="articleBody">a<p hidden>h</p></div><div style="display: none">b</div>c', ["a"]),
+    ],
+)
+def test_parts(page, want):
+    found = pages.blocks(page)
+    place = next(w for w in ("article", "main") if any(x[0] == w for x in found))
+    assert [t for w, t in found if w == place] == want
+
+
 def test_repeated_substrings():
     rng = random.Random(1)
     for _ in range(30):
