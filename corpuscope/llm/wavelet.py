@@ -135,6 +135,8 @@ class WaveletMatrix:
 #: piece starts wherever white space follows anything else, and where a full stop or comma follows a letter. Other
 #: white space than the six ASCII kinds is rare: such texts are encoded whole.
 _CHUNK = re.compile("[\t-\r ]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\t-\r ]|$)|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
+#: Chunks that are one piece whatever stands around them: the model takes them without the pipeline around it.
+_PIECE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 
 
@@ -148,8 +150,22 @@ class Encoder:
 
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.levels = max(1, (max(self.tokenizer.get_vocab(True).values())).bit_length())
+        pieces, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
+        self.by_model = self.tokenizer.normalizer is None and type(pieces).__name__ == "ByteLevel" and not pieces.add_prefix_space and not any(_PIECE.fullmatch(t.content) for t in added)
+        # byte-level vocabularies write a byte as a character: visible ones of Latin-1 as they are, the rest from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in seen]
+        self.written = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        if not self.by_model:
+            return self._encoded(texts)
+        tokenize, written = self.tokenizer.model.tokenize, self.written
+        single = [bool(_PIECE.fullmatch(t)) for t in texts]
+        others = iter(self._encoded([t for t, s in zip(texts, single, strict=True) if not s]))
+        return [np.array([k.id for k in tokenize(t.encode().decode("latin-1").translate(written))], dtype="<u4").tobytes() if s else next(others) for t, s in zip(texts, single, strict=True)]
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
