@@ -85,7 +85,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     added = ("size", "source_size", "target", "copies", "taken")
     docs = docs.drop(*added)
     src = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source")))
-    sized = docs.withColumns({"size": n_words(F.col("text")), "_src": src, "_bin": F.pmod(F.xxhash64("doc_id"), F.lit(bins))})
+    sized = docs.withColumns({"size": n_words(F.col("text")), "_src": src, "_bin": F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 4), 16, 10).cast("int") % bins})
     narrow = sized.select("_src", "size", "_bin")
     slices, _ = kept(narrow.groupBy("_src", "size", "_bin").agg(F.count("*").alias("k")), "mix-slices")
     cells = slices.groupBy("_src", "size").agg(F.sum("k").alias("n"))
