@@ -55,6 +55,15 @@ def n_words(column) -> F.Column:
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """From now on Python gets at most ``rows`` rows at once. Texts run to megabytes: with the 10,000 rows that Spark
+    sends by default, a worker and the JVM's buffers hold hundreds of megabytes, which they do not give back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def plus(schema: T.StructType, ddl: str) -> T.StructType:
     """A schema with the columns of ``ddl`` after its own."""
     return T.StructType([*schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import plus, table
+from corpuscope.llm.common import plus, small_batches, table
 
 #: N-grams are three bytes of UTF-8 in lower case, hashed to so many features.
 FEATURES = 1 << 15
@@ -106,6 +106,7 @@ def train(docs: DataFrame) -> Model:
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], names=["lang", "feature", "n"])
 
+    small_batches(docs.sparkSession)
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold(), F.lit(1)) != 0))
     counts = learn.select("lang", F.col("text").cast("binary")).mapInArrow(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     got = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("counts")).orderBy("lang").limit(MOST_LANGUAGES + 1).toLocalIterator()
@@ -129,6 +130,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score", "languages")
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.langs, model.p.astype(np.float32)))
     kind = pa.list_(pa.struct([("language", pa.string()), ("share", pa.float64())]))
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscope.llm.common import kept
+from corpuscope.llm.common import kept, small_batches
 from corpuscope.llm.components import components
 from corpuscope.llm.repeats import pack, unpack
 
@@ -134,11 +134,20 @@ def candidate_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
                 at = np.repeat(np.arange(part.start, part.stop), segments)
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(segments, dtype=np.int32), n)), pa.array(keys[part.start * segments : part.stop * segments]), batch.column(0).take(pa.array(at)), pa.array(short, pa.binary()).take(pa.array(at))], names=["segment", "key", "doc_id", "code"])
 
+    def gathered(batches, rows=8_192):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+        if size:
+            yield pa.Table.from_batches(held).combine_chunks()
+
     def meet(batches):
         held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             run = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy().astype(np.int64)
             ids, code = batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, 2)
             if held is not None:
@@ -164,6 +173,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     In a segment's group larger than ``AHEAD`` a document meets only those next to it in order of code. Members of such
     a group agree on a segment, hence are mostly alike, and meet in other orders in the other segments.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     digest = F.sha2("text", 256)
     named, _ = kept(texts.select("doc_id", digest.alias("digest")), "text-digests")

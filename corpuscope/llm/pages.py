@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import kept, table
+from corpuscope.llm.common import kept, small_batches, table
 
 #: A repeated substring has at least so many tokens (a power of two).
 REPEAT = 8
@@ -193,6 +193,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     uid += 1
                 yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array(sure, pa.bool_()), pa.array(rest, place)], names=["uid", "page_id", "url", "text", "sure", "rest"])
 
+    small_batches(pages.sparkSession)
     schema = "uid long, page_id long, url string, text string, sure boolean, rest array<struct<at:int,apart:boolean,text:string>>"
     parsed, _ = kept(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parse, schema), "pages")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import table
+from corpuscope.llm.common import small_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -27,10 +27,10 @@ FOREVER = float("inf")
 class Pieces:
     """A SentencePiece model of type BPE with byte fallback, identity normalisation and a leading space symbol.
 
-    Chunks already encoded stay in a cache of at most ``most`` entries.
+    Chunks already encoded stay in a cache of at most ``most`` entries, of some 200 bytes each.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -68,7 +68,7 @@ class Pieces:
         follow = f"[{SPACE}{re.escape(stops)}]"
         self.chunk = re.compile(f"{SPACE}*[{letters}]+(?={follow}|$)|{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.strange = re.compile("[^" + re.escape("".join(c for c in self.id if len(c) == 1)) + "]")
-        self.most, self.known, self.suits, self.spines = most, {}, {}, {}
+        self.most, self.decimal, self.packed, self.suits, self.spines = most, {}, {}, {}, {}
 
     def _merged(self, text: str):
         """How merging builds a piece's text: (piece, left, right) with parts alike, a character having no parts; None
@@ -154,17 +154,23 @@ class Pieces:
             at = m.end()
         return ids + (self._run(chunk[at:]) if at < len(chunk) else [])
 
-    def _known(self, chunk: str) -> tuple[bytes, int, str, bytes]:
-        """A chunk's ids in decimal with commas, their number, what they decode to inside a text, and as 32-bit integers."""
-        got = self.known.get(chunk)
-        if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            if len(self.suits) >= 4 * self.most:
-                self.suits.clear()
-            ids = self._chunk_ids(chunk)
-            got = self.known[chunk] = (",".join(map(str, ids)).encode(), len(ids), self.decode_part(ids), np.array(ids, "<i4").tobytes())
-        return got
+    def _known(self, chunks: list[str], cache: dict[str, bytes], write) -> list[bytes]:
+        """Of each chunk its ids as ``write`` puts them. What goes into the cache has been decoded and found to be the
+        chunk again, so the decoded text is the chunks' own."""
+        out = []
+        for chunk in chunks:
+            got = cache.get(chunk)
+            if got is None:
+                if len(cache) >= self.most:
+                    cache.clear()
+                if len(self.suits) >= 2 * self.most:
+                    self.suits.clear()
+                ids = self._chunk_ids(chunk)
+                if self.decode_part(ids) != chunk.replace(SPACE, " "):
+                    raise ValueError(f"{chunk!r} does not survive encoding")
+                got = cache[chunk] = write(ids)
+            out.append(got)
+        return out
 
     def _chunks(self, text: str) -> list[str]:
         return self.chunk.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -199,9 +205,19 @@ class Pieces:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text."""
-        got = [self._known(c) for c in self._chunks(text)]
-        decoded = "".join([g[2] for g in got])[1:]  # the first chunk starts with the leading space symbol
-        return sum([g[1] for g in got]), sha256(b",".join([g[0] for g in got])).hexdigest(), sha256(decoded.encode()).hexdigest()
+        chunks = self._chunks(text)
+        ids = b",".join(self._known(chunks, self.decimal, lambda x: ",".join(map(str, x)).encode()))
+        return ids.count(b",") + bool(ids), sha256(ids).hexdigest(), self._decoded_sha256(chunks)
+
+    @staticmethod
+    def _decoded_sha256(chunks: list[str]) -> str:
+        # the first chunk starts with the leading space symbol, which decoding drops
+        return sha256("".join(chunks).replace(SPACE, " ")[1:].encode()).hexdigest()
+
+    def packed_ids(self, text: str) -> tuple[bytes, str]:
+        """The ids as 32-bit integers, and SHA-256 of the decoded text."""
+        chunks = self._chunks(text)
+        return b"".join(self._known(chunks, self.packed, lambda x: np.array(x, "<i4").tobytes())), self._decoded_sha256(chunks)
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -228,6 +244,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
             n, ids, text = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
@@ -239,13 +256,12 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
-                got = [[use._known(c) for c in use._chunks(t or "")] for t in piece.column(1).to_pylist()]
-                ids = [b"".join([g[3] for g in x]) for x in got]
+                ids, decoded = zip(*[use.packed_ids(t or "") for t in piece.column(1).to_pylist()], strict=True)
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                decoded = [sha256("".join([g[2] for g in x])[1:].encode()).hexdigest() for x in got]
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscope.llm.common import kept, table
+from corpuscope.llm.common import kept, small_batches, table
 from corpuscope.llm.components import components
 
 RADIUS, SEGMENTS, WIDTH = 2, 4, 16
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t or b"", shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -88,7 +89,7 @@ def links(fps: DataFrame) -> DataFrame:
     cold = cold.where(f"bit_count(a ^ b) <= {RADIUS}")
 
     others = [[b for s in range(SEGMENTS) if s not in p for b in range(WIDTH * s, WIDTH * s + WIDTH)] for p in pairs]
-    masks = "array(" + ", ".join("array(0L, " + ", ".join(f"{(1 << b) - (1 << 64 if b == 63 else 0)}L" if b < 63 else "shiftleft(1L, 63)" for b in bits) + ")" for bits in others) + ")"
+    masks = "array(" + ", ".join("array(0L, " + ", ".join(f"shiftleft(1L, {b})" for b in bits) + ")" for bits in others) + ")"
     near = shared.where(F.col("n") > PAIRWISE).select("k", "fp", F.explode(F.expr(f"transform({masks}[k], m -> fp ^ m)")).alias("x"))
     least = near.groupBy("k", "x").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     hot = near.join(least, ["k", "x"]).where("fp != a").select("a", F.col("fp").alias("b"))

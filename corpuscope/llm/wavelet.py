@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import fresh_path, table
+from corpuscope.llm.common import fresh_path, small_batches, table
 
 MAGIC = b"WVM1"
 
@@ -137,7 +137,7 @@ class WaveletMatrix:
 _CHUNK = re.compile("[\t-\r ]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,\t-\r ]|$)|[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Chunks that are one piece whatever stands around them: the model takes them without the pipeline around it.
 _PIECE = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
 
 class Encoder:
@@ -203,6 +203,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
     first; rows with equal ids are in order of text.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     partitions = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
