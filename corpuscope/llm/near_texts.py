@@ -27,6 +27,8 @@ DIFFER, MISS = 0.12, 1e-3
 RADIUS, RING = 36, 8
 #: In a segment's group, in order of code, each document is compared with so many that follow it.
 AHEAD = 96
+#: Segments of the first round, which only joins what is easily found.
+FIRST = 8
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -102,8 +104,7 @@ def close_in_runs(run: np.ndarray, codes: np.ndarray, ahead: int = AHEAD) -> tup
 
 
 def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> list[int]:
-    """Of the pairs those of a minimum spanning forest: whatever joins two rows at a distance joins them in the forest
-    at no larger one, so a group of many copies gives as many pairs as rows."""
+    """Of the pairs those of a minimum spanning forest: a group of many copies gives no more pairs than rows."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -120,47 +121,60 @@ def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> list[int]:
     return out
 
 
-def candidate_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """From ``doc_id`` and ``code`` to distinct pairs (``a``, ``b``) that meet in a segment and are close."""
+def dealt(codes: DataFrame, bits: int, segments: int) -> DataFrame:
+    """Each row of ``doc_id``, ``code`` and ``joined`` once for each segment, with the segment's ``key`` and the code's first 128 bits."""
 
     def cut(batches):
         for batch in batches:
             code = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
             keys = np.concatenate([segment_keys(c, bits, segments) for c in code]) if batch.num_rows else np.zeros(0, np.int32)
-            short = [c[:2].tobytes() for c in code]
+            short = pa.array([c[:2].tobytes() for c in code], pa.binary())
             for k in range(0, batch.num_rows, 1024):
                 part = slice(k, min(k + 1024, batch.num_rows))
                 n = part.stop - part.start
-                at = np.repeat(np.arange(part.start, part.stop), segments)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(segments, dtype=np.int32), n)), pa.array(keys[part.start * segments : part.stop * segments]), batch.column(0).take(pa.array(at)), pa.array(short, pa.binary()).take(pa.array(at))], names=["segment", "key", "doc_id", "code"])
+                at = pa.array(np.repeat(np.arange(part.start, part.stop), segments))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(segments, dtype=np.int32), n)), pa.array(keys[part.start * segments : part.stop * segments]), batch.column(0).take(at), short.take(at), batch.column(2).take(at)], names=["segment", "key", "doc_id", "code", "joined"])
 
-    def gathered(batches, rows=8_192):
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= rows:
-                yield pa.Table.from_batches(held).combine_chunks()
-                held, size = [], 0
-        if size:
-            yield pa.Table.from_batches(held).combine_chunks()
+    return codes.select("doc_id", "code", "joined").mapInArrow(cut, "segment int, key int, doc_id long, code binary, joined long").repartition("segment", "key")
+
+
+def gathered(batches, rows=8_192):
+    """The batches of ``dealt`` in parts of some thousand rows: (run, ids, codes, joined)."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            yield _arrays(held)
+            held, size = [], 0
+    if size:
+        yield _arrays(held)
+
+
+def _arrays(held):
+    t = pa.Table.from_batches(held).combine_chunks()
+    run = t.column(0).to_numpy().astype(np.int64) << 32 | t.column(1).to_numpy().astype(np.int64)
+    return run, t.column(2).to_numpy(), np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(-1, 2), t.column(4).to_numpy()
+
+
+def candidate_pairs(codes: DataFrame, bits: int, segments: int, sparse: bool) -> DataFrame:
+    """From ``doc_id``, ``code`` and ``joined`` to distinct pairs (``a``, ``b``) that meet in a segment, are close and not yet joined.
+    ``sparse`` takes only a forest of each group's pairs: a start, for the similarity may refuse a pair of the forest
+    and hold for one outside."""
 
     def meet(batches):
         held = None
-        for batch in gathered(batches):
-            run = batch.column(0).to_numpy().astype(np.int64) << 32 | batch.column(1).to_numpy().astype(np.int64)
-            ids, code = batch.column(2).to_numpy(), np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8").reshape(-1, 2)
-            if held is not None:
-                run, ids, code = np.concatenate([held[0], run]), np.concatenate([held[1], ids]), np.concatenate([held[2], code])
+        for part in gathered(batches):
+            run, ids, code, joined = part if held is None else (np.concatenate(x) for x in zip(held, part, strict=True))
             i, j, far = close_in_runs(run, code)
-            pick = forest(i, j, far)
+            pick = forest(i, j, far) if sparse else joined[i] != joined[j]
             i, j = ids[i[pick]], ids[j[pick]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
             last = np.flatnonzero(run == run[-1])[-AHEAD:]
-            held = run[last], ids[last], code[last]
+            held = run[last], ids[last], code[last], joined[last]
 
-    dealt = codes.mapInArrow(cut, "segment int, key int, doc_id long, code binary").repartition("segment", "key").sortWithinPartitions("segment", "key", "code", "doc_id")
-    return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    met = dealt(codes, bits, segments).sortWithinPartitions("segment", "key", "code", "doc_id")
+    return met.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -195,8 +209,6 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     copies = named.join(firsts, "digest").select("doc_id", "first")
     copies, _ = kept(copies, "text-copies")
     alone = copies.where("doc_id = first").select("doc_id").distinct()
-    pairs, _ = kept(candidate_pairs(coded.select("doc_id", "code").join(alone, "doc_id", "left_semi"), bits, segments), "text-pairs")
-
     def verify(batches):
         for batch in batches:
             good = []
@@ -207,8 +219,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     sides = [coded.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
-    links = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long")
-    edges = links.union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+
+    def linked(pairs, name):
+        pairs, _ = kept(pairs, f"text-pairs-{name}")
+        return kept(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"text-links-{name}")[0]
+
+    # a first round joins the many copies of groups; the second takes every pair whose ends true links have not joined
+    codes = coded.select("doc_id", "code").join(alone, "doc_id", "left_semi").withColumn("joined", F.col("doc_id"))
+    first = linked(candidate_pairs(codes, bits, min(FIRST, segments), sparse=True), "first")
+    joined = components(first).select(F.col("node").alias("doc_id"), "root")
+    codes = codes.join(joined, "doc_id", "left").select("doc_id", "code", F.coalesce("root", "doc_id").alias("joined"))
+    rest = linked(candidate_pairs(codes, bits, segments, sparse=False), "rest")
+    edges = first.union(rest).union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 

@@ -205,6 +205,23 @@ def test_wide_simhash_in_large_groups(spark):
     assert not [i for i, c in got.items() if i >= 1000 and c != i]
 
 
+def template_texts(n, shared):
+    """``n`` texts of 300 words that have the first ``shared`` in common; every second one is a near copy (0.84) of the one before it."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, rows = [word() for _ in range(shared)], []
+    for i in range(0, n, 2):
+        text = base + [word() for _ in range(300 - shared)]
+        rows += [(i, " ".join(text)), (i + 1, " ".join(text[:-25] + [word() for _ in range(25)]))]
+    return rows
+
+
+def test_wide_simhash_among_texts_of_a_template(spark):
+    """A refused pair of a group's forest must not hide the true links of the group."""
+    got = {r.doc_id: r.component_id for r in near_texts.near_duplicates(spark.createDataFrame(template_texts(200, 225), "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+
+
 def test_ring():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, (500, 2)).astype(np.uint64)
