@@ -25,10 +25,9 @@ from corpuscope.llm.repeats import pack, unpack
 DIFFER, MISS = 0.12, 1e-3
 #: Documents whose 128-bit codes differ in more bits are not compared further.
 RADIUS, RING = 36, 8
-#: In a segment's group, in order of code, each document is compared with so many that follow it.
-AHEAD = 96
-#: Segments of the first round, which only joins what is easily found.
-FIRST = 8
+#: The first round only joins what is easily found: in so many segments, each document of a group is compared with so many that
+#: follow it in order of code. The second round has no such bounds.
+FIRST, AHEAD = 8, 96
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -103,6 +102,30 @@ def close_in_runs(run: np.ndarray, codes: np.ndarray, ahead: int = AHEAD) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def across_in_runs(run: np.ndarray, codes: np.ndarray, joined: np.ndarray, rows: int = 32_768):
+    """All pairs of rows of equal ``run`` but not equal ``joined`` (both in order) within the radius, in parts (i, j)."""
+    n = len(run)
+
+    def ends(new):
+        starts = np.flatnonzero(np.concatenate([[True], new]))
+        return np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+
+    other = run[1:] != run[:-1]
+    of_run, of_joined = ends(other), ends(other | (joined[1:] != joined[:-1]))
+    for k in range(0, n, rows):
+        i, j = np.arange(k, min(k + rows, n)), of_joined[k : k + rows]
+        while True:
+            inside = j < of_run[i]
+            i, j = i[inside], j[inside]
+            if not len(i):
+                break
+            near = np.flatnonzero(ring_viable(codes[i], codes[j]))
+            near = near[np.bitwise_count(codes[i[near]] ^ codes[j[near]]).sum(axis=1, dtype=np.int64) <= RADIUS]
+            if len(near):
+                yield i[near], j[near]
+            j = j + 1
+
+
 def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> list[int]:
     """Of the pairs those of a minimum spanning forest: a group of many copies gives no more pairs than rows."""
     parent: dict[int, int] = {}
@@ -157,19 +180,21 @@ def _arrays(held):
     return run, t.column(2).to_numpy(), np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(-1, 2), t.column(4).to_numpy()
 
 
-def candidate_pairs(codes: DataFrame, bits: int, segments: int, sparse: bool) -> DataFrame:
-    """From ``doc_id``, ``code`` and ``joined`` to distinct pairs (``a``, ``b``) that meet in a segment, are close and not yet joined.
-    ``sparse`` takes only a forest of each group's pairs: a start, for the similarity may refuse a pair of the forest
-    and hold for one outside."""
+def _pairs(i, j):
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+
+def easy_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
+    """From ``doc_id``, ``code`` and ``joined`` to distinct pairs (``a``, ``b``) that meet in a segment, next to each other, and are close: a
+    forest of each group's. This is a start: the similarity may refuse a pair of the forest and hold for one outside."""
 
     def meet(batches):
         held = None
         for part in gathered(batches):
             run, ids, code, joined = part if held is None else (np.concatenate(x) for x in zip(held, part, strict=True))
             i, j, far = close_in_runs(run, code)
-            pick = forest(i, j, far) if sparse else joined[i] != joined[j]
-            i, j = ids[i[pick]], ids[j[pick]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+            pick = forest(i, j, far)
+            yield _pairs(ids[i[pick]], ids[j[pick]])
             last = np.flatnonzero(run == run[-1])[-AHEAD:]
             held = run[last], ids[last], code[last], joined[last]
 
@@ -177,6 +202,40 @@ def candidate_pairs(codes: DataFrame, bits: int, segments: int, sparse: bool) ->
     return met.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
+def other_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
+    """From ``doc_id``, ``code`` and ``joined`` to the distinct pairs (``a``, ``b``) that meet in a segment, are close and not yet joined: all
+    of them, however large the group. A group is held as numbers, 40 bytes a row."""
+
+    def whole_runs(parts):
+        held = []
+        for part in parts:
+            if held and part[0][-1] == held[0][0][0]:
+                held.append(part)
+                continue
+            cut = int(np.searchsorted(part[0], part[0][-1])) if part[0][0] != part[0][-1] else 0
+            run, ids, code, joined = (np.concatenate([*x, y[:cut]]) for *x, y in zip(*held, part, strict=True))
+            if len(run):
+                yield run, ids, code, joined
+            held = [tuple(x[cut:] for x in part)]
+        if held:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    def meet(batches):
+        for run, ids, code, joined in whole_runs(gathered(batches)):
+            found, size = [], 0
+            for i, j in across_in_runs(run, code, joined):
+                found.append((i, j))
+                size += len(i)
+                if size >= 65_536:
+                    yield _pairs(*(ids[np.concatenate(x)] for x in zip(*found, strict=True)))
+                    found, size = [], 0
+            if size:
+                yield _pairs(*(ids[np.concatenate(x)] for x in zip(*found, strict=True)))
+
+    met = dealt(codes, bits, segments).sortWithinPartitions("segment", "key", "joined", "doc_id")
+    return met.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """Documents with a component of more than themselves: ``doc_id``, ``component_id`` (the smallest id reachable).
 
@@ -184,8 +243,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     (ASCII capitals as small letters) is at least ``similarity``. Texts without words are alike. Rows without an id
     take no part; a null text is an empty one. Of equal texts one is compared. Other columns are ignored.
 
-    In a segment's group larger than ``AHEAD`` a document meets only those next to it in order of code. Members of such
-    a group agree on a segment, hence are mostly alike, and meet in other orders in the other segments.
+    Of each segment's group all pairs are compared, but those that the first round's verified links have joined.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
@@ -226,10 +284,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     # a first round joins the many copies of groups; the second takes every pair whose ends true links have not joined
     codes = coded.select("doc_id", "code").join(alone, "doc_id", "left_semi").withColumn("joined", F.col("doc_id"))
-    first = linked(candidate_pairs(codes, bits, min(FIRST, segments), sparse=True), "first")
+    first = linked(easy_pairs(codes, bits, min(FIRST, segments)), "first")
     joined = components(first).select(F.col("node").alias("doc_id"), "root")
     codes = codes.join(joined, "doc_id", "left").select("doc_id", "code", F.coalesce("root", "doc_id").alias("joined"))
-    rest = linked(candidate_pairs(codes, bits, segments, sparse=False), "rest")
+    rest = linked(other_pairs(codes, bits, segments), "rest")
     edges = first.union(rest).union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 

@@ -222,6 +222,22 @@ def test_wide_simhash_among_texts_of_a_template(spark):
     assert got == {i: i - i % 2 for i in range(200)}
 
 
+def test_wide_simhash_in_large_groups_of_a_template(spark):
+    """In groups far over ``AHEAD`` every pair is compared: what is lost is what the segments lose."""
+    got = {r.doc_id: r.component_id for r in near_texts.near_duplicates(spark.createDataFrame(template_texts(1000, 225), "doc_id long, text string")).collect()}
+    assert sum(got.get(i + 1) != i for i in range(0, 1000, 2)) <= 2
+    assert not [i for i, c in got.items() if c != i - i % 2]
+
+
+def test_pairs_across_in_runs():
+    rng = np.random.default_rng(3)
+    run, joined = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 40, 300)
+    joined = joined[np.lexsort((joined, run))]
+    codes = np.zeros((300, 2), np.uint64)
+    got = {p for i, j in near_texts.across_in_runs(run, codes, joined, rows=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    assert got == {(i, j) for j in range(300) for i in range(j) if run[i] == run[j] and joined[i] != joined[j]}
+
+
 def test_ring():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, (500, 2)).astype(np.uint64)
