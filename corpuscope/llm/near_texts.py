@@ -21,8 +21,8 @@ from corpuscope.llm.common import kept, small_batches
 from corpuscope.llm.components import components
 from corpuscope.llm.repeats import pack, unpack
 
-#: Bits that differ between documents at the similarity, as a share, and how many of such pairs may meet in no segment.
-DIFFER, MISS = 0.12, 1e-3
+#: How many of the pairs at the similarity may meet in no segment.
+MISS = 1e-3
 #: Documents whose 128-bit codes differ in more bits are not compared further.
 RADIUS, RING = 36, 8
 #: The first round only joins what is easily found: in so many segments, each document of a group is compared with so many that
@@ -63,10 +63,17 @@ def wide_code(features: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def segment_plan(rows: int) -> tuple[int, int]:
+def differing(similarity: float) -> float:
+    """The share of bits that differ between documents at the similarity, at worst: two sets of one size with a passage
+    replaced, whose pairs of words are as alike as their shingles. Scattered changes leave pairs of words more alike."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def segment_plan(rows: int, similarity: float = 0.8) -> tuple[int, int]:
     """Bits of a segment and number of segments: a bit more whenever the table doubles, so groups keep their size."""
     bits = min(31, max(8, math.ceil(math.log2(max(2, rows))) - 4))
-    return bits, math.ceil(math.log(MISS) / math.log(1 - (1 - DIFFER) ** bits))
+    agree = (1 - differing(similarity)) ** bits
+    return bits, 1 if agree == 1 else math.ceil(math.log(MISS) / math.log(1 - agree))
 
 
 def segment_keys(code: np.ndarray, bits: int, segments: int) -> np.ndarray:
@@ -250,7 +257,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     digest = F.sha2("text", 256)
     named, _ = kept(texts.select("doc_id", digest.alias("digest")), "text-digests")
     firsts = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    bits, segments = segment_plan(named.count())
+    bits, segments = segment_plan(named.count(), similarity)
     width = max(2, -(-bits * segments // 64))
 
     def code(batches):

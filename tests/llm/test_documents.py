@@ -229,6 +229,20 @@ def test_wide_simhash_in_large_groups_of_a_template(spark):
     assert not [i for i, c in got.items() if c != i - i % 2]
 
 
+def test_segments_suffice_for_replaced_passages():
+    """A replaced passage leaves pairs of words as alike as shingles; at 0.8 such texts must meet at every size."""
+    rng = np.random.default_rng(2)
+    far = []
+    for _ in range(60):
+        common, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (800, 100, 100))
+        far.append(np.bitwise_count(near_texts.wide_code(np.concatenate([common, a]), 16) ^ near_texts.wide_code(np.concatenate([common, b]), 16)).sum() / 1024)
+    assert near_texts.differing(0.8) == pytest.approx(np.mean(far), abs=0.006)
+    for rows in (10**3, 10**5, 10**6, 10**7, 10**8):
+        bits, segments = near_texts.segment_plan(rows)
+        assert (1 - (1 - near_texts.differing(0.8)) ** bits) ** segments <= near_texts.MISS
+        assert (1 - 0.848**bits) ** segments <= 1.2 * near_texts.MISS
+
+
 def test_pairs_across_in_runs():
     rng = np.random.default_rng(3)
     run, joined = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 40, 300)
