@@ -2,7 +2,7 @@
 
 A page falls into blocks of text. Markup says what it can: blocks inside an article (or, without one, the main element)
 are the page's text, and those inside menus, headers, footers, sidebars, forms, adverts, notices and comments are not.
-For the rest, and as a second witness against menus and the like, the host decides: the token streams of its
+On the rest the host decides, whether the page has an article or not, with menus and the like as further witnesses: the token streams of its
 pages outside articles are concatenated, a suffix array finds the long substrings that repeat in other pages, and
 blocks which these cover go; runs that only their page has stay.
 
@@ -173,6 +173,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Repeated rows are pages of their own and bear witness against each other outside articles. Other columns are
     ignored; empty tables give no rows. Only text outside articles moves to its host, in groups of bounded size.
     """
+    kept_blocks = pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))
     place = pa.list_(pa.struct([("at", pa.int32()), ("apart", pa.bool_()), ("text", pa.string())]))
 
     def parse(batches):
@@ -182,28 +183,28 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 piece = batch.slice(k, 512)
-                texts, sure, rest, uids = [], [], [], []
+                mine, sure, rest, uids = [], [], [], []
                 for page in piece.column(2).to_pylist():
                     found = blocks(page or "")
                     wanted = next((w for w in ("article", "main") if any(x[0] == w for x in found)), None)
-                    texts.append("\n\n".join([t for w, t in found if w == wanted]))
-                    sure.append(wanted is not None)
+                    mine.append([{"at": i, "text": t} for i, (w, t) in enumerate(found) if w == wanted])
+                    sure.append(all(w in (wanted, "apart") for w, _ in found))
                     rest.append([{"at": i, "apart": w == "apart", "text": t} for i, (w, t) in enumerate(found) if w != wanted])
                     uids.append(uid)
                     uid += 1
-                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), piece.column(0), piece.column(1), pa.array(texts, pa.string()), pa.array(sure, pa.bool_()), pa.array(rest, place)], names=["uid", "page_id", "url", "text", "sure", "rest"])
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), piece.column(0), piece.column(1), pa.array(mine, kept_blocks), pa.array(sure, pa.bool_()), pa.array(rest, place)], names=["uid", "page_id", "url", "mine", "sure", "rest"])
 
     small_batches(pages.sparkSession)
-    schema = "uid long, page_id long, url string, text string, sure boolean, rest array<struct<at:int,apart:boolean,text:string>>"
+    schema = "uid long, page_id long, url string, mine array<struct<at:int,text:string>>, sure boolean, rest array<struct<at:int,apart:boolean,text:string>>"
     parsed, _ = kept(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(parse, schema), "pages")
 
-    outside = parsed.select("uid", "sure", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), "rest").where(F.size("rest") > 0)
+    outside = parsed.select("uid", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), "rest").where(F.size("rest") > 0)
     weight = F.aggregate("rest", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x["text"]))
     groups = outside.groupBy("host").agg(F.ceil(F.sum(weight) / GROUP_BYTES).cast("int").alias("groups"))
     dealt = outside.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int"))
 
     def judge(group):
-        uids, sure, rest = (group.column(c).to_pylist() for c in ("uid", "sure", "rest"))
+        uids, rest = (group.column(c).to_pylist() for c in ("uid", "rest"))
         order = sorted(range(len(uids)), key=lambda i: uids[i])
         words, page, owner, spans = [], [], [], []
         for p, i in enumerate(order):
@@ -214,15 +215,16 @@ def extract(pages: DataFrame) -> DataFrame:
                 page += [p] * len(w)
         covered = repeated(np.unique(np.array(words, dtype=object), return_inverse=True)[1] if words else np.zeros(0, np.int64), np.array(page, np.int64))
         sums = np.concatenate([[0], np.cumsum(covered)])
-        found: dict[int, list[str]] = {}
+        found: dict[int, list[dict]] = {}
         for i, b, begin, end in spans:
-            if not sure[i] and not b["apart"] and sums[end] - sums[begin] < COVERED * (end - begin):
-                found.setdefault(uids[i], []).append(b["text"])
-        return pa.table([pa.array(list(found), pa.int64()), pa.array(["\n\n".join(x) for x in found.values()], pa.string())], names=["uid", "own"])
-
-    own = dealt.groupBy("host", "part").applyInArrow(judge, "uid long, own string")
-    certain = parsed.where("sure").select("page_id", "url", "text")
-    judged = parsed.where("NOT sure").join(own, "uid", "left").select("page_id", "url", F.coalesce("own", F.lit("")).alias("text"))
+            if not b["apart"] and sums[end] - sums[begin] < COVERED * (end - begin):
+                found.setdefault(uids[i], []).append({"at": b["at"], "text": b["text"]})
+        return pa.table([pa.array(list(found), pa.int64()), pa.array(list(found.values()), kept_blocks)], names=["uid", "own"])
+
+    own = dealt.groupBy("host", "part").applyInArrow(judge, "uid long, own array<struct<at:int,text:string>>")
+    text = lambda parts: F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text")
+    certain = parsed.where("sure").select("page_id", "url", text("mine"))
+    judged = parsed.where("NOT sure").join(own, "uid", "left").select("page_id", "url", text(F.array_sort(F.concat("mine", F.coalesce("own", F.slice("mine", 1, 0))))))
     return certain.unionByName(judged).withColumn("n_chars", F.char_length("text").cast("long"))
 
 

@@ -177,6 +177,15 @@ def test_extract(spark):
     assert pages.extract(table.limit(0)).count() == 0
 
 
+def test_extract_keeps_unique_blocks_beside_articles(spark):
+    """Where a teaser is an article and the story a plain div, the host decides on the story."""
+    notice = " ".join(f"n{j}" for j in range(20))
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(k, f"http://h.org/{k}", f"<div>{own(k)}</div><article>teaser {k}</article><div>{notice}</div><p>{own(k + 50)}</p><nav>{own(k + 90)}</nav>") for k in range(4)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"{own(k)}\n\nteaser {k}\n\n{own(k + 50)}" for k in range(4)}
+
+
 def test_pipeline(spark, tmp_path):
     frame(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
