@@ -4,7 +4,9 @@ A page falls into blocks of text. Markup says what it can: blocks inside an arti
 are the page's text, and those inside menus, headers, footers, sidebars, forms, adverts, notices and comments are not.
 On the rest the host decides, whether the page has an article or not, with menus and the like as further witnesses: the token streams of its
 pages outside articles are concatenated, a suffix array finds the long substrings that repeat in other pages, and
-blocks which these cover go; runs that only their page has stay.
+blocks which these cover go; runs that only their page has stay. A large host has a suffix array for each group of its
+pages; hashes of windows tell each group what other groups of the host have too, so groups do not change the result
+(but for equal 64-bit hashes of different windows).
 
 Text inside an article is kept even where it repeats on other pages: articles do quote and republish each other, and
 taking repeats away there would take the text itself.
@@ -17,10 +19,12 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from corpuscope.llm.common import kept, small_batches, table
+from corpuscope.llm.near_texts import mixed
 
 #: A repeated substring has at least so many tokens (a power of two).
 REPEAT = 8
@@ -166,6 +170,46 @@ def repeated(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
     return np.cumsum(steps)[:n] > 0
 
 
+def window_keys(words: list[str], page: np.ndarray, host: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of ``REPEAT`` tokens within a page begin, and their hashes, which differ from host to host."""
+    n = len(words) - REPEAT + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = {w: xxh64_intdigest(w) for w in set(words)}
+    h, salt = np.fromiter((hashes[w] for w in words), np.uint64, len(words)), np.full(n, xxh64_intdigest(host), np.uint64)
+    for k in range(REPEAT):
+        salt = mixed(salt ^ h[k : k + n], k)
+    at = np.flatnonzero(page[:n] == page[REPEAT - 1 :])
+    return at, salt[at].view(np.int64)
+
+
+def _stream(pages_blocks: list) -> tuple[list[str], np.ndarray]:
+    words, page = [], []
+    for p, parts in enumerate(pages_blocks):
+        for b in parts:
+            w = b["text"].split()
+            words += w
+            page += [p] * len(w)
+    return words, np.array(page, np.int64)
+
+
+def shared_windows(large: DataFrame) -> DataFrame:
+    """From ``host``, ``part`` and ``rest`` of hosts in several groups to the windows that several of them have: each once for each group."""
+
+    def windows(batches):
+        for batch in batches:
+            by_group: dict[tuple[str, int], list] = {}
+            for host, part, rest in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                by_group.setdefault((host, part), []).append(rest)
+            for (host, part), rests in by_group.items():
+                keys = np.unique(window_keys(*_stream(rests), host)[1])
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array(np.full(len(keys), part, np.int32)), pa.array(keys)], names=["host", "part", "window"])
+
+    met = large.select("host", "part", "rest").mapInArrow(windows, "host string, part int, window long").repartition("host", "window").dropDuplicates()
+    by = Window.partitionBy("host", "window")
+    return met.select("*", F.min("part").over(by).alias("lo"), F.max("part").over(by).alias("hi")).where("lo <> hi").select("host", "part", "window")
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (``page_id``, ``url``, ``html``): ``page_id``, ``url``, ``text``, ``n_chars``.
 
@@ -203,17 +247,21 @@ def extract(pages: DataFrame) -> DataFrame:
     groups = outside.groupBy("host").agg(F.ceil(F.sum(weight) / GROUP_BYTES).cast("int").alias("groups"))
     dealt = outside.join(groups, "host").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int"))
 
-    def judge(group):
+    def judge(group, shared):
         uids, rest = (group.column(c).to_pylist() for c in ("uid", "rest"))
         order = sorted(range(len(uids)), key=lambda i: uids[i])
-        words, page, owner, spans = [], [], [], []
-        for p, i in enumerate(order):
+        words, page = _stream([rest[i] for i in order])
+        spans, end = [], 0
+        for i in order:
             for b in rest[i]:
-                w = b["text"].split()
-                spans.append((i, b, len(words), len(words) + len(w)))
-                words += w
-                page += [p] * len(w)
-        covered = repeated(np.unique(np.array(words, dtype=object), return_inverse=True)[1] if words else np.zeros(0, np.int64), np.array(page, np.int64))
+                begin, end = end, end + len(b["text"].split())
+                spans.append((i, b, begin, end))
+        covered = repeated(np.unique(np.array(words, dtype=object), return_inverse=True)[1] if words else np.zeros(0, np.int64), page)
+        if shared.num_rows:
+            at, keys = window_keys(words, page, group.column("host")[0].as_py())
+            at = at[np.isin(keys, shared.column("window").to_numpy())]
+            for k in range(REPEAT):
+                covered[at + k] = True
         sums = np.concatenate([[0], np.cumsum(covered)])
         found: dict[int, list[dict]] = {}
         for i, b, begin, end in spans:
@@ -221,7 +269,8 @@ def extract(pages: DataFrame) -> DataFrame:
                 found.setdefault(uids[i], []).append({"at": b["at"], "text": b["text"]})
         return pa.table([pa.array(list(found), pa.int64()), pa.array(list(found.values()), kept_blocks)], names=["uid", "own"])
 
-    own = dealt.groupBy("host", "part").applyInArrow(judge, "uid long, own array<struct<at:int,text:string>>")
+    shared = shared_windows(dealt.where("groups > 1"))
+    own = dealt.groupBy("host", "part").cogroup(shared.groupBy("host", "part")).applyInArrow(judge, "uid long, own array<struct<at:int,text:string>>")
     text = lambda parts: F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("text")
     certain = parsed.where("sure").select("page_id", "url", text("mine"))
     judged = parsed.where("NOT sure").join(own, "uid", "left").select("page_id", "url", text(F.array_sort(F.concat("mine", F.coalesce("own", F.slice("mine", 1, 0))))))

@@ -186,6 +186,17 @@ def test_extract_keeps_unique_blocks_beside_articles(spark):
     assert got == {k: f"{own(k)}\n\nteaser {k}\n\n{own(k + 50)}" for k in range(4)}
 
 
+def test_extract_finds_repeats_across_groups(spark, monkeypatch):
+    """A notice on two pages of a large host goes, whatever groups they fall in."""
+    text = lambda name, k: " ".join(f"{name}{k}x{j}" for j in range(20))
+    rows = [(k, f"http://{'h' if k < 60 else 'i'}.org/{k}", f"<div>{text('own', k)}</div><div>{text('notice', k // 2)}</div>") for k in range(80)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: text("own", k) for k in range(80)}
+    for size in (2 << 20, 1500):
+        monkeypatch.setattr(pages, "GROUP_BYTES", size)
+        assert {r.page_id: r.text for r in pages.extract(table).collect()} == want
+
+
 def test_pipeline(spark, tmp_path):
     frame(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
