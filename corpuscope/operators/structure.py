@@ -204,7 +204,7 @@ DEFINITIONS = {
     "shell": [("function", r"^\s*(?:function\s+)?(\w+)\s*\(\)")],
     "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>")],
     "java": [("class", r"^\s*(?:\w+\s+)*(?:class|enum|record)\s+(\w+)"), ("interface", r"^\s*(?:\w+\s+)*interface\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|override|async)\s+)+[\w<>\[\],. ]+\s+(\w+)\s*\(")],
-    "html": [("other", r"<h[1-6][^>]*>([^<]{1,80})")],
+    "html": [("other", r"<h[1-6][^>]*>([^<]+)")],
     "markdown": [("other", r"^#{1,6}\s+(.+?)\s*$")],
 }
 _SAME = {"typescript": "javascript", "csharp": "java", "kotlin": "java", "scala": "java", "swift": "java", "php": "java", "c": "java", "c++": "java"}
@@ -217,6 +217,13 @@ def definitions(content: str, lang: str) -> list[dict]:
     rules = DEFINITIONS.get(_SAME.get(lang, lang))
     if not rules or not content:
         return []
+    if lang == "html":
+        # a page is often one line, and a heading may cross lines
+        out, line, at = [], 1, 0
+        for m in re.finditer(rules[0][1], content, re.I):
+            line, at = line + content.count("\n", at, m.start()), m.start()
+            out.append({"name": m[1], "kind": rules[0][0], "line": line, "end": line})
+        return out
     masked = content
     if lang not in ("html", "markdown"):
         for _, a, b in places(content, lang):

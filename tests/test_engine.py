@@ -123,6 +123,12 @@ def test_places():
     assert structure.place_of(structure.places(text, "python"), 5, 6) == "strings" and structure.place_of([("comments", 0, 4)], 2, 6) == "across"
 
 
+def test_headings_of_pages():
+    long = "long " * 40 + "tail"
+    got = structure.definitions(f"<h1>a</h1><h2 class=x>{long}</h2>\n<H3>c</H3>", "html")
+    assert [(d["name"], d["line"]) for d in got] == [("a", 1), (long, 1), ("c", 2)]
+
+
 def test_structures():
     code = "f(a, g(b, c)); f(x, x); // f(p, q)\nf(s, 'f(1, 2)')"
     find = lambda t: [code[a:b] for a, b in structure.find_structures(code, "javascript", t)[0]]
