@@ -83,12 +83,13 @@ def template(source: str) -> tuple:
     return tuple(parts + [t for t, _, _ in _tokens(source[at:])])
 
 
-def find_structures(text: str, lang: str, source: str, budget: int = 2_000_000) -> tuple[list[tuple[int, int]], bool]:
+def find_structures(text: str, lang: str, source: str, budget: int | None = None) -> tuple[list[tuple[int, int]], bool]:
     """Where a template matches, leftmost and without overlap, and whether the search was complete. A hole takes a shortest run of tokens with
-    balanced brackets; the same name takes the same tokens; ``_`` and no name bind nothing."""
+    balanced brackets; the same name takes the same tokens; ``_`` and no name bind nothing. The search has ``budget`` steps, or 2,000,000
+    and 64 for each token."""
     parts, tokens = template(source), _tokens(text, lang)
     words = [t for t, _, _ in tokens]
-    left = [budget]
+    left = [2_000_000 + 64 * len(words) if budget is None else budget]
 
     def match(p: int, at: int, bound: dict) -> int | None:
         left[0] -= 1
