@@ -31,7 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where)  # only what is there can be marked
+    system.deleteOnExit(where)
+    return path
 
 
 def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -39,7 +45,7 @@ def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     outlive any executor."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -50,6 +56,34 @@ def drop(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def looked_up(rows: DataFrame, classes: DataFrame, key: str, parts: int = 10_000) -> DataFrame:
+    """``rows`` with the columns of ``classes``, which has one row for each ``key`` of ``rows``, and its number of rows as ``n``.
+
+    A key may hold any share of the rows. Keys with more than ``1 / parts`` of all rows are less than ``parts``, so these go to all
+    tasks; the rows of other keys are few and meet by key.
+    """
+    n = rows.count()
+    often = F.col("n") > max(200, n // parts)
+    hot = classes.where(often).drop("n")
+    names = [key, *(c for c in rows.columns if c != key), *(c for c in classes.columns if c not in (key, "n"))]
+    near = rows.join(F.broadcast(hot), key).select(*names)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(~often).drop("n"), key).select(*names)
+    return near.unionByName(rest)
+
+
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """``docs`` with columns of the given names, which an operator needs for itself, under other names; and what to select at the end for
+    the caller's columns under their own names."""
+    taken, new = {n.lower() for n in (*names, *docs.columns)}, []
+    for c in docs.columns:
+        held = c
+        while held.lower() in {n.lower() for n in names} or (held != c and held.lower() in taken):
+            held += "_"
+        taken.add(held.lower())
+        new.append(held)
+    return docs.toDF(*new), [F.col(f"`{held}`").alias(c) for held, c in zip(new, docs.columns, strict=True)]
+
+
 def n_words(column) -> F.Column:
     """The number of words of a text; null: 0."""
     return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscope.llm.common import kept, small_batches
+from corpuscope.llm.common import drop, kept, looked_up, small_batches
 from corpuscope.llm.components import components
 from corpuscope.llm.repeats import pack, unpack
 
@@ -248,15 +248,23 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     Two documents link if their texts are equal or the Jaccard similarity of their sets of ``shingle``-word shingles
     (ASCII capitals as small letters) is at least ``similarity``. Texts without words are alike. Rows without an id
-    take no part; a null text is an empty one. Of equal texts one is compared. Other columns are ignored.
+    take no part; a null text is an empty one. Whole texts count, however long: a text gives 8 bytes a shingle. Of equal texts one is
+    compared. Other columns are ignored; empty tables give no rows.
 
     Of each segment's group all pairs are compared, but those that the first round's verified links have joined.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     digest = F.sha2("text", 256)
-    named, _ = kept(texts.select("doc_id", digest.alias("digest")), "text-digests")
-    firsts = named.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    paths = []
+
+    def put(df, name):
+        df, path = kept(df, f"text-{name}")
+        paths.append(path)
+        return df
+
+    named = put(texts.select("doc_id", digest.alias("digest")), "digests")
+    firsts = put(named.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "firsts")
     bits, segments = segment_plan(named.count(), similarity)
     width = max(2, -(-bits * segments // 64))
 
@@ -270,10 +278,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
                 sets.append(pack(np.unique(shingle_hashes(h, shingle) >> np.uint64(24))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "code", "shingles"])
 
-    coded, _ = kept(texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(code, "doc_id long, code binary, shingles binary"), "text-codes")
-    copies = named.join(firsts, "digest").select("doc_id", "first")
-    copies, _ = kept(copies, "text-copies")
-    alone = copies.where("doc_id = first").select("doc_id").distinct()
+    coded = put(texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(code, "doc_id long, code binary, shingles binary"), "codes")
+    copies = put(looked_up(named, firsts, "digest").select("doc_id", "first"), "copies")
+    alone = firsts.select(F.col("first").alias("doc_id")).distinct()
+
     def verify(batches):
         for batch in batches:
             good = []
@@ -286,8 +294,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     sides = [coded.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
 
     def linked(pairs, name):
-        pairs, _ = kept(pairs, f"text-pairs-{name}")
-        return kept(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"text-links-{name}")[0]
+        pairs = put(pairs, f"pairs-{name}")
+        return put(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"links-{name}")
 
     # a first round joins the many copies of groups; the second takes every pair whose ends true links have not joined
     codes = coded.select("doc_id", "code").join(alone, "doc_id", "left_semi").withColumn("joined", F.col("doc_id"))
@@ -296,7 +304,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     codes = codes.join(joined, "doc_id", "left").select("doc_id", "code", F.coalesce("root", "doc_id").alias("joined"))
     rest = linked(other_pairs(codes, bits, segments), "rest")
     edges = first.union(rest).union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    out = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    drop(docs.sparkSession, *paths)
+    return out
 
 
 def without_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

@@ -234,7 +234,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
             yield closed()
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
+    dealt.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").option("compression", "none").parquet(path)
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
