@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscope.llm.common import kept, small_batches, table
+from corpuscope.llm.common import drop, kept, looked_up, small_batches, table
 from corpuscope.llm.components import components
 
 RADIUS, SEGMENTS, WIDTH = 2, 4, 16
@@ -76,7 +76,8 @@ def links(fps: DataFrame) -> DataFrame:
 
     A bucket of one pair of equal segments with more than ``PAIRWISE`` fingerprints has its members emit themselves
     and their 32 neighbours in the other two segments: two fingerprints differ in at most two bits exactly if they
-    have a neighbour in common, and each hangs on the smallest fingerprint that shares one. The work is linear.
+    have a neighbour in common, and each hangs on the smallest fingerprint that shares one. The work is linear. The
+    pairs of either kind pass the ring's chains before their Hamming distance is taken.
     """
     pairs = list(combinations(range(SEGMENTS), 2))
     keys = ", ".join(f"struct({k} AS k, ({_segment('fp', i)} << {WIDTH}) | {_segment('fp', j)} AS v)" for k, (i, j) in enumerate(pairs))
@@ -86,14 +87,13 @@ def links(fps: DataFrame) -> DataFrame:
 
     cold = shared.where(F.col("n") <= PAIRWISE).groupBy("k", "v").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     cold = cold.select("fps", F.posexplode("fps").alias("i", "a")).select("a", F.explode(F.expr("filter(slice(fps, i + 2, size(fps)), b -> " + chain_condition("a", "b") + ")")).alias("b"))
-    cold = cold.where(f"bit_count(a ^ b) <= {RADIUS}")
 
     others = [[b for s in range(SEGMENTS) if s not in p for b in range(WIDTH * s, WIDTH * s + WIDTH)] for p in pairs]
     masks = "array(" + ", ".join("array(0L, " + ", ".join(f"shiftleft(1L, {b})" for b in bits) + ")" for bits in others) + ")"
     near = shared.where(F.col("n") > PAIRWISE).select("k", "fp", F.explode(F.expr(f"transform({masks}[k], m -> fp ^ m)")).alias("x"))
     least = near.groupBy("k", "x").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    hot = near.join(least, ["k", "x"]).where("fp != a").select("a", F.col("fp").alias("b"))
-    return cold.select("a", "b").union(hot)
+    hot = near.join(least, ["k", "x"]).where("fp != a").select("a", F.col("fp").alias("b")).where(chain_condition("a", "b"))
+    return cold.select("a", "b").union(hot).where(f"bit_count(a ^ b) <= {RADIUS}")
 
 
 def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -102,14 +102,16 @@ def near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     Texts without words, null ones included, have fingerprint 0 and link like any other. Rows with a null id have a
     component as well; it is null only if no row of it has an id. Empty tables give no rows; other columns are ignored.
+    Any share of the rows may have one fingerprint, as empty texts do: see ``looked_up``.
     """
     marked, _ = kept(fingerprints(docs, shingle), "simhash")
-    distinct, _ = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    distinct, path = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     found = components(links(distinct.select("fp")))
-    roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes, _ = kept(roots.join(named, "root").select("fp", "component_id"), "simhash-classes")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes, _ = kept(roots.join(named, "root").select("fp", "component_id", "n"), "simhash-classes")
+    drop(docs.sparkSession, path)
+    return looked_up(marked, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
