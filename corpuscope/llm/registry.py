@@ -14,10 +14,10 @@ from corpuscope.llm.wavelet import op3_wavelet
 def _mix_round(k: int) -> str:
     """SQL of one round that makes good what a source's words lack, from the cells ``c{k}`` to ``c{k + 1}``."""
     return f"""
-        l{k} AS (SELECT *, round(target) - sum((n * base + extra) * size) OVER (PARTITION BY src) AS lack FROM c{k}),
-        m{k} AS (SELECT *, CASE WHEN size = 0 OR size > abs(lack) THEN 0 WHEN lack <= 0 THEN extra WHEN base + 1 <= 3 THEN n - extra ELSE 0 END AS room FROM l{k}),
-        c{k + 1} AS (SELECT src, size, n, target, base, extra + sign(lack) * greatest(0, least(room, floor((abs(lack) - coalesce(sum(room * size) OVER
-          (PARTITION BY src ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / greatest(size, 1)))) AS extra FROM m{k}),"""
+        l{k} AS (SELECT *, round(target) - sum(total * size) OVER (PARTITION BY src) AS lack FROM c{k}),
+        m{k} AS (SELECT *, CASE WHEN size = 0 OR size > abs(lack) THEN 0 WHEN lack > 0 THEN 3 * n - total ELSE total END AS room FROM l{k}),
+        c{k + 1} AS (SELECT src, size, n, target, total + sign(lack) * greatest(0, least(room, floor((abs(lack) - coalesce(sum(room * size) OVER
+          (PARTITION BY src ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / greatest(size, 1)))) AS total FROM m{k}),"""
 
 
 QUERIES = {
@@ -35,7 +35,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_entropy_mix": r"""
-        WITH d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src,
+        WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src,
                    len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
                    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 4) AS INT) % 64 AS bin FROM documents),
         s0 AS (SELECT src, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY src),
@@ -43,15 +43,24 @@ ORACLE_SQL: dict[str, str] = {
         s2 AS (SELECT *, cap / weight AS ratio, (sum(words) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
                FROM s1 WINDOW b AS (ORDER BY cap / weight, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT src, words, coalesce(least(cap, (SELECT level FROM s2 WHERE level * weight <= cap ORDER BY ratio, src LIMIT 1) * weight), cap) AS target FROM s2),
-        r AS (SELECT *, CASE WHEN words > 0 AND target > 0 THEN least(target / words, 3.0::DOUBLE) ELSE 0 END AS rate FROM t),
-        p AS (SELECT src, size, n, target, floor(rate) AS base, floor(sum(n * (rate - floor(rate))) OVER (PARTITION BY src ORDER BY size DESC ROWS UNBOUNDED PRECEDING) + 0.5) AS passed
-              FROM (SELECT src, size, count(*) AS n FROM d GROUP BY src, size) JOIN r USING (src)),
-        c0 AS (SELECT src, size, n, target, base, least(n, passed - coalesce(lag(passed) OVER (PARTITION BY src ORDER BY size DESC), 0)) AS extra FROM p),
+        k AS (SELECT src, size, count(*) AS n FROM d GROUP BY src, size),
+        z AS (SELECT src, sum(CAST(n AS DOUBLE) * size * size) / sum(n * size) AS scale FROM k GROUP BY src),
+        h AS (SELECT src, 0 AS step, -1e5::DOUBLE AS lo, 1e5::DOUBLE AS hi FROM t WHERE words > 0
+              UNION ALL
+              SELECT src, step + 1, CASE WHEN got < target THEN (lo + hi) / 2 ELSE lo END, CASE WHEN got < target THEN hi ELSE (lo + hi) / 2 END
+              FROM (SELECT h.src, step, lo, hi, t.target, sum(n * size * least(exp(least((lo + hi) / 2 * size / scale, 700)), 3)) AS got
+                    FROM h JOIN k USING (src) JOIN z USING (src) JOIN t USING (src) WHERE step < 100 GROUP BY h.src, step, lo, hi, t.target)),
+        x AS (SELECT src, (lo + hi) / 2 AS x FROM h WHERE step = 100),
+        r AS (SELECT k.*, target, CAST(floor(1000000 * CASE WHEN size = 0 THEN 1 WHEN target >= words * 3 * (1 - 1e-12::DOUBLE) THEN 3 WHEN target <= 0 THEN 0
+              ELSE least(exp(least(x * size / scale, 700)), 3) END + 0.5) AS BIGINT) AS rate
+              FROM k JOIN t USING (src) LEFT JOIN x USING (src) LEFT JOIN z USING (src)),
+        p AS (SELECT src, size, n, target, rate // 1000000 AS base, (sum(n * (rate % 1000000)) OVER (PARTITION BY src ORDER BY size DESC ROWS UNBOUNDED PRECEDING) + 500000) // 1000000 AS passed FROM r),
+        c0 AS (SELECT src, size, n, target, base * n + least(n, passed - coalesce(lag(passed) OVER (PARTITION BY src ORDER BY size DESC), 0)) AS total FROM p),
     """
-    + "".join(map(_mix_round, range(3)))
+    + "".join(map(_mix_round, range(4)))
     + """
-        b AS (SELECT src, size, bin, base, CAST(extra AS BIGINT) AS extra, n, k, CAST(sum(k) OVER (PARTITION BY src, size ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
-              FROM (SELECT src, size, bin, count(*) AS k FROM d GROUP BY src, size, bin) JOIN c3 USING (src, size)),
+        b AS (SELECT src, size, bin, CAST(total AS BIGINT) // n AS base, CAST(total AS BIGINT) % n AS extra, n, k, CAST(sum(k) OVER (PARTITION BY src, size ORDER BY bin ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+              FROM (SELECT src, size, bin, count(*) AS k FROM d GROUP BY src, size, bin) JOIN c4 USING (src, size)),
         q AS (SELECT src, size, bin, base, (upto * extra) // n - ((upto - k) * extra) // n AS more FROM b)
         SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target,
           CAST((base + CASE WHEN row_number() OVER (PARTITION BY src, size, bin ORDER BY doc_id) <= more THEN 1 ELSE 0 END) * size AS BIGINT) AS taken

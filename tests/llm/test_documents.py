@@ -359,6 +359,29 @@ def test_mixing_comes_near_targets(spark):
         assert r["sum(taken)"] == pytest.approx(r["max(target)"], rel=0.002)
 
 
+def test_mixing_tilts_as_a_dense_newton_does(spark):
+    """Multipliers against Newton's method over single documents, in numpy: rates differ within a source and meet its target."""
+    rng = random.Random(4)
+    rows = [(s, int(rng.paretovariate(0.9) * 7) % 9000) for s in "abcdef" for _ in range(rng.choice([5, 60, 700]))]
+    sizes = {s: np.array([n for x, n in rows if x == s], float) for s in "abcdef"}
+    target = {s: float(round(sizes[s].sum() * f)) for s, f in zip("abcdef", (0.02, 0.4, 1.0, 1.7, 2.9, 3.0), strict=True)}
+    cells = spark.createDataFrame([(s, n, k) for (s, n), k in Counter(rows).items()], "_src string, size long, n long")
+    sources = spark.createDataFrame([(s, int(sizes[s].sum()), target[s]) for s in sizes], "_src string, words long, target double")
+    got = {(r._src, r["size"]): r.rate / mixing.UNIT for r in mixing.with_rates(cells, sources, mixing.tilted(cells, sources, 3), 3).collect()}
+    for s, n in sizes.items():
+        u, x, lo, hi = n / n.max(), 0.0, -1e6, 1e6
+        for _ in range(300):
+            r = np.minimum(3, np.exp(np.minimum(x * u, 700)))
+            g, h = (n * r).sum() - target[s], (n * u * r)[r < 3].sum()
+            lo, hi = (x, hi) if g < 0 else (lo, x)
+            x = x - g / h if h > 0 and lo < x - g / h < hi else (lo + hi) / 2
+        want = np.minimum(3, np.exp(np.minimum(x * u, 700)))
+        assert (n * want).sum() == pytest.approx(target[s], rel=1e-6)
+        assert [got[s, int(k)] for k in n] == pytest.approx(want.tolist(), abs=2e-6)
+        if s in "abde":
+            assert len({got[s, int(k)] for k in n if k}) > 1
+
+
 def test_mixing_with_full_sources(spark):
     rows = [(1, "a", "x " * 1000), (2, "b", "x"), (3, "c", None), (4, "d", "x x")]
     got = {r.source: (r.target, r.taken) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), weights=(1,)).collect()}
