@@ -4,8 +4,8 @@ Documents lie in old shards, each cut into blocks by a hash of the document id.
 the capacities of the new shards, a minimum-cost flow says how many bytes move from where to where; whole blocks carry
 the flow out; then the files of the shards that gain or lose blocks are written anew.
 
-The flow and the blocks are decided on the driver, over ``old_shards * blocks`` pairs of numbers: a bound set by
-parameters, whatever the size of the corpus. Rows move once, straight into their file.
+The flow and the blocks are decided on the driver, over ``old_shards * blocks`` pairs of numbers: ``BLOCKS`` for each old shard, or
+one for each ``BLOCK_BYTES`` where that is more, so a block is never more than a few files. Rows move once, straight into their file.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpuscope.llm.common import fresh_path, table
+from corpuscope.llm.common import aside, fresh_path, table
 
 INFINITE = float("inf")
+#: An old shard has at least so many blocks, and as many as it takes for blocks of about so many bytes.
+BLOCKS, BLOCK_BYTES = 512, 256 << 20
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost=None) -> dict[tuple[int, int], int]:
@@ -98,7 +100,7 @@ def plan_moves(sizes: list[tuple[int, int, int, int]], shards: int, capacity: li
     """From (old shard, block, rows, bytes) to a plan. Without ``capacity`` the new shards get equal bytes.
 
     The flow is in bytes and blocks are whole, so each old shard deals its largest blocks first, each to the target
-    that still lacks most; then single blocks move, or change places, while that brings the fullest and the emptiest
+    that still lacks most; then single blocks move while that brings the fullest and the emptiest
     shard closer to their shares. Ties go to smaller numbers, so the plan depends on nothing but its arguments.
     """
     total = sum(x[3] for x in sizes)
@@ -151,9 +153,11 @@ def text_size(text) -> F.Column:
 
 
 def placed(docs: DataFrame, old_shards: int, blocks: int, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``_old_shard`` and ``_block``, both from a hash of the id."""
+    """Adds ``_old_shard`` and ``_block``, from hashes of the id; the block's also counts ``size``, so rows without an id, or of one
+    id, lie in many blocks."""
     h = F.xxhash64(id_col)
-    return docs.withColumn("_old_shard", F.pmod(h, F.lit(old_shards)).cast("int")).withColumn("_block", F.pmod(F.floor(h / old_shards), F.lit(blocks)).cast("int"))
+    own = F.xxhash64(id_col, "size")
+    return docs.withColumn("_old_shard", F.pmod(h, F.lit(old_shards)).cast("int")).withColumn("_block", F.pmod(own, F.lit(blocks)).cast("int"))
 
 
 def block_sizes(docs: DataFrame) -> list[tuple[int, int, int, int]]:
@@ -171,33 +175,37 @@ def rewrite(docs: DataFrame, plan: Plan, path: str, file_bytes: int = 128 << 20,
     """
     spark = docs.sparkSession
     schema = "_old_shard int, _block int, shard int, _first_slot long, _file int"
-    rows, filled = [], {}
+    rows, filled, files = [], {}, {}
     for old, block, _, size, shard, slot in plan.blocks:
         if only is None or shard in only:
-            rows.append((old, block, shard, slot, filled.get(shard, 0) // file_bytes))
+            rows.append((old, block, shard, slot, files.setdefault((shard, filled.get(shard, 0) // file_bytes), len(files))))
             filled[shard] = filled.get(shard, 0) + size
     frame = pd.DataFrame(rows, columns=["_old_shard", "_block", "shard", "_first_slot", "_file"])
-    # at most old_shards * blocks rows, a bound set by parameters
+    # one row a block
     moves = spark.createDataFrame(frame, schema) if rows else spark.createDataFrame([], schema)
-    n_files = max(1, len({(r[2], r[4]) for r in rows}))
     order = [c for c in ("doc_id", "size", "text_crc32") if c in docs.columns]
-    out = docs.join(F.broadcast(moves), ["_old_shard", "_block"]).repartition(n_files, "shard", "_file")
-    out = out.withColumn("slot", F.col("_first_slot") + F.row_number().over(Window.partitionBy("shard", "_file", "_block", "_old_shard").orderBy(*order)) - 1).drop("_first_slot", "_file", "_block", "_old_shard")
+    # a task for each file
+    out = docs.join(F.broadcast(moves), ["_old_shard", "_block"]).repartitionById(max(1, len(files)), "_file")
+    out = out.withColumn("slot", F.col("_first_slot") + F.row_number().over(Window.partitionBy("_file", "_block", "_old_shard").orderBy(*order)) - 1).drop("_first_slot", "_file", "_block", "_old_shard")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("shard").parquet(path)
     return spark.read.schema(T.StructType(out.schema.fields)).parquet(path)
 
 
-def reshard(docs: DataFrame, path: str, old_shards: int, shards: int, blocks: int = 512, **more) -> tuple[DataFrame, Plan]:
+def reshard(docs: DataFrame, path: str, old_shards: int, shards: int, blocks: int | None = None, **more) -> tuple[DataFrame, Plan]:
     """Deals ``docs`` (``doc_id``, ``text``, any others) from ``old_shards`` to ``shards`` files of near equal bytes.
 
     A document's size is the UTF-8 bytes of its text plus 16; a null text has no bytes. Nulls and repeats in any
-    column are kept as they are: rows with the same id share a block, a null id hashes like any other. An empty
+    column are kept as they are; a null id hashes like any other. A text of any length stays whole, in one file. An empty
     table gives no rows. Columns of ``docs`` named ``size``, ``shard`` or ``slot`` are replaced.
     """
-    docs = docs.drop("size", "shard", "slot")
-    laid = placed(docs.withColumn("size", text_size(F.col("text"))), old_shards, blocks)
+    docs, back = aside(docs.drop("size", "shard", "slot"), "_old_shard", "_block", "_first_slot", "_file")
+    sized = docs.withColumn("size", text_size(F.col("text")))
+    if blocks is None:
+        total = sized.agg(F.sum("size")).first()[0] or 0
+        blocks = max(BLOCKS, -(-total // (old_shards * BLOCK_BYTES)))
+    laid = placed(sized, old_shards, blocks)
     plan = plan_moves(block_sizes(laid), shards)
-    return rewrite(laid, plan, path, **more), plan
+    return rewrite(laid, plan, path, **more).select(*back, "size", "shard", "slot"), plan
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
