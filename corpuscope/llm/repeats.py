@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corpuscope.llm.automaton import SuffixAutomaton
-from corpuscope.llm.common import plus, table
+from corpuscope.llm.common import aside, plus, table
 
 WINDOW = 13
 #: Documents are dealt to groups of about so many bytes of text; a longer text fills a group of its own.
@@ -118,7 +118,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     not count as repeats of each other. Rows with any text in common with a third of the corpus cost no more than
     others: a passage comes once to each group that has it. Empty tables give no rows.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_group").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs, back = aside(docs.drop("n_words", "n_removed", "kept_sha256").withColumn("doc_id", F.col("doc_id").cast("long")), "_group")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // GROUP_BYTES))
     short = min(64, math.ceil(math.log2(total + 2)) + 11)  # bits of a short hash: one in some thousands matches by chance
@@ -237,7 +237,8 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     claims = by_group.cogroup(replies.groupBy("_group")).applyInArrow(claim, "slice int, _group int, hashes binary, ids binary, several binary")
     requests = claims.groupBy("slice").applyInArrow(settle, "_group int, hashes binary, takers binary")
     passages = by_group.cogroup(requests.groupBy("_group")).applyInArrow(send, "_group int, owner long, passage binary")
-    return by_group.cogroup(passages.groupBy("_group")).applyInArrow(strip, plus(docs.schema, "n_words long, n_removed long, kept_sha256 string"))
+    out = by_group.cogroup(passages.groupBy("_group")).applyInArrow(strip, plus(docs.schema, "n_words long, n_removed long, kept_sha256 string"))
+    return out.select(*back, "n_words", "n_removed", "kept_sha256")
 
 
 def _without(words: list[bytes], ids: list[int], automaton: SuffixAutomaton, doc: int, window: int) -> list[bytes]:
