@@ -111,6 +111,32 @@ def test_reshard_balances():
     assert max(load.values()) - min(load.values()) < 0.02 * sum(load.values()) / 11
 
 
+def test_reshard_all_documents(spark, docs, tmp_path):
+    """The registered query, with its 32 old shards and 40 new ones, against the rows themselves."""
+    docs.select("doc_id", "text", "source").write.parquet(f"{tmp_path}/documents.parquet")
+    got = resharding.op1_reshard(spark, str(tmp_path)).collect()
+    want = Counter((r[0], len((r[1] or "").encode()) + 16, None if r[1] is None else zlib.crc32(r[1].encode())) for r in documents())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)} and {r.shard for r in got} <= set(range(40))
+    slots, load = defaultdict(list), Counter()
+    for r in got:
+        slots[r.shard].append(r.slot)
+        load[r.shard] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # what is too large for an equal share stands alone; the others differ by less than one of the documents
+    alone = {r.shard for r in got if r["size"] > sum(load.values()) / 40}
+    assert all(len(slots[s]) == 1 for s in alone)
+    # one plan, whatever the input's partitions
+    assert sorted(resharding.reshard(docs.repartition(3), fresh_path(spark, "t"), 32, 40)[1].blocks) == sorted(resharding.reshard(docs, fresh_path(spark, "t"), 32, 40)[1].blocks)
+
+
+def test_reshard_keeps_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "a", 5, 6, 7), (None, "bb", 8, 9, 1)], "doc_id long, text string, _block int, _FILE int, _old_shard int")
+    got, _ = resharding.reshard(table, fresh_path(spark, "t"), 3, 2, blocks=4)
+    assert got.columns == [*table.columns, "size", "shard", "slot"]
+    assert sorted((r[0] or 0, *r[1:6]) for r in got.collect()) == [(0, "bb", 8, 9, 1, 18), (1, "a", 5, 6, 7, 17)]
+
+
 def test_rewrite_only_affected(spark):
     rows = [(i, "t" * (i % 17)) for i in range(200)]
     laid = resharding.placed(spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", resharding.text_size(resharding.F.col("text"))), 4, 8)
@@ -322,6 +348,8 @@ def test_encoder_cuts_where_ids_stay():
 
 
 def test_mixing(docs, empty):
+    clash = mixing.mix(docs.withColumn("_SRC", mixing.F.lit(1)).withColumn("_rank", mixing.F.lit(2)))
+    assert clash.columns[-7:-5] == ["_SRC", "_rank"] and {(r["_SRC"], r["_rank"]) for r in clash.collect()} == {(1, 2)}
     got = mixing.mix(docs).collect()
     assert len(got) == len(documents())
     by = defaultdict(list)
