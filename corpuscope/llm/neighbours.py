@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors become binary codes: signs after rotations learned so that the signs lose little (iterative quantisation). A code
-is split into substrings of one byte, and each substring has an index from its value to rows. Two codes within a
-Hamming radius r agree up to r / m bits in at least one of m substrings, so probing each index with all values that
+is split into m substrings of about as many bits as the logarithm of the rows, and each substring has an index from its value to rows.
+With a Hamming radius r = q * m + a, two codes within it differ by at most q bits in one of the first a + 1 substrings or by
+at most q - 1 in one of the others, or the differences would add up to more; so probing each index with all values that
 close finds every code within the radius. Those are reranked by the cosine of the vectors themselves.
 
 Rows lie in blocks, each with its own indexes; queries come to the blocks in sets of bounded size. The radius is chosen
-on a sample so that it holds the nearest neighbours there; a block with too few codes in it widens the radius.
+on a sample so that it holds the nearest neighbours there; a block with too few codes in it widens the radius. How much of a
+block the probes reach follows from the data: little where neighbours are much closer than other vectors, most of it where they are not.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +31,17 @@ SAMPLE = 12_000
 #: Share of true neighbours of the sample that the radius must hold.
 HELD = 0.99
 ROWS_A_BLOCK, QUERIES_A_SET = 8_192, 8_192
+#: Substrings have at least and at most so many bits.
+LEAST_BITS, MOST_BITS = 8, 16
 _POP = np.array([bin(x).count("1") for x in range(256)], np.int64)
-#: The 256 differences of a byte, those with few bits first, and how many have at most k bits.
-_FLIPS = np.array(sorted(range(256), key=lambda x: (bin(x).count("1"), x)), np.int64)
-_WITHIN = [sum(math.comb(8, i) for i in range(k + 1)) for k in range(9)]
+
+
+@lru_cache(maxsize=None)
+def flips(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All differences of values of ``bits`` bits, those with few bits first, and how many have at most k bits."""
+    values = np.arange(1 << bits, dtype=np.int64)
+    ones = np.bitwise_count(values).astype(np.int64)
+    return values[np.argsort(ones, kind="stable")], np.cumsum(np.bincount(ones, minlength=bits + 1))
 
 
 def learned_rotation(x: np.ndarray, seed: int, steps: int = 30) -> np.ndarray:
@@ -73,25 +83,46 @@ class Coder:
 
 
 class Index:
-    """A block's rows by the value of each byte of their codes."""
+    """A block's rows by the value of each substring of their codes."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.rows = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.searchsorted(c[r], np.arange(257)) for c, r in zip(codes.T, self.rows, strict=True)]
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """All rows whose codes differ from ``code`` in at most ``radius`` bits."""
-        m = len(code)
-        flips, mark = _FLIPS[: _WITHIN[min(8, radius // m)]], np.zeros(len(self.codes), bool)
-        for rows, starts, value in zip(self.rows, self.starts, code.tolist(), strict=True):
-            probed = flips ^ value
-            begin, count = starts[probed], starts[probed + 1] - starts[probed]
+        width = 8 * codes.shape[1]
+        wanted = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, len(codes))))))
+        self.cuts = np.linspace(0, width, max(1, round(width / wanted)) + 1).astype(int)
+        self.rows, self.starts = [], []
+        for value, bits in zip(self.values(codes), np.diff(self.cuts).tolist(), strict=True):
+            order = np.argsort(value, kind="stable")
+            self.rows.append(order)
+            self.starts.append(np.searchsorted(value[order], np.arange((1 << bits) + 1)))
+
+    def values(self, codes: np.ndarray) -> list[np.ndarray]:
+        """The substrings of each code as numbers."""
+        signs = np.unpackbits(codes, axis=1).astype(np.int64)
+        return [signs[:, a:b] @ (np.int64(1) << np.arange(b - a, dtype=np.int64)) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+
+    def probed(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Marks the rows that the substrings' indexes give for a radius: all within it, and others."""
+        mark, m = np.zeros(len(self.codes), bool), len(self.rows)
+        whole, rest = divmod(radius, m)
+        for k, (rows, starts, value) in enumerate(zip(self.rows, self.starts, self.values(code[None, :]), strict=True)):
+            reach = whole if k <= rest else whole - 1
+            if reach < 0:
+                break
+            values, within = flips(int(self.cuts[k + 1] - self.cuts[k]))
+            near = values[: within[min(reach, len(within) - 1)]] ^ value[0]
+            begin, count = starts[near], starts[near + 1] - starts[near]
+            full = np.flatnonzero(count)
+            begin, count = begin[full], count[full]
             total = int(count.sum())
             if total:
                 ends = np.cumsum(count)
                 mark[rows[np.arange(total) + np.repeat(begin - ends + count, count)]] = True
-        found = np.flatnonzero(mark)
+        return mark
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """All rows whose codes differ from ``code`` in at most ``radius`` bits."""
+        found = np.flatnonzero(self.probed(code, radius))
         return found[_POP[self.codes[found] ^ code].sum(axis=1) <= radius]
 
 

@@ -1,5 +1,9 @@
 """The queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpuscope.llm.common import table
 from corpuscope.llm.languages import op9_language
 from corpuscope.llm.mixing import op4_entropy_mix
 from corpuscope.llm.neighbours import op7_neighbours
@@ -8,7 +12,7 @@ from corpuscope.llm.repeats import op5_repeats
 from corpuscope.llm.resharding import op1_reshard
 from corpuscope.llm.sentencepieces import op8_sentencepiece
 from corpuscope.llm.simhash import op2_simhash
-from corpuscope.llm.vector_copies import op10_vector_copies
+from corpuscope.llm.vector_copies import near_vectors, op10_vector_copies
 from corpuscope.llm.wavelet import op3_wavelet
 
 def _mix_round(k: int) -> str:
@@ -20,6 +24,28 @@ def _mix_round(k: int) -> str:
           (PARTITION BY src ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / greatest(size, 1)))) AS total FROM m{k}),"""
 
 
+def _links_sql(vectors: str) -> str:
+    """SQL of links, components and kept vectors over the rows of ``vectors`` (vec_id, e)."""
+    return f"""
+        WITH RECURSIVE v AS ({vectors}),
+        ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+        c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept
+        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+    """
+
+
+def vector_copies_turned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links among all vectors and slightly turned, scaled copies of them: the given vectors alone hold no pair at 0.95."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = rows.select((F.col("vec_id") + 1_000_000).alias("vec_id"), F.expr("transform(embedding, (x, i) -> 2 * x + if(i = 0, 0.6D, 0D))").alias("embedding"))
+    close = rows.select((F.col("vec_id") + 2_000_000).alias("vec_id"), F.expr("transform(embedding, (x, i) -> x + if(i = 1, 0.1D, 0D))").alias("embedding"))
+    return near_vectors(rows.unionByName(turned).unionByName(close))
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_simhash": op2_simhash,
@@ -31,6 +57,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_vector_copies": op10_vector_copies,
+    "vector_copies_turned": vector_copies_turned,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,14 +105,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
         FROM d LEFT JOIN k ON k.doc_id = d.doc_id
     """,
-    "op10_vector_copies": """
-        WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-        ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
-        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
-        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-        n AS (SELECT a, count(*) AS n FROM l GROUP BY a),
-        c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
-        SELECT vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, vec_id = c.c AS kept
-        FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
-    """,
+    "op10_vector_copies": _links_sql("SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"),
+    "vector_copies_turned": _links_sql("""
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        UNION ALL SELECT 1000000 + vec_id, list_transform(embedding::DOUBLE[], lambda x, i: 2 * x + CASE WHEN i = 1 THEN 0.6 ELSE 0 END) FROM embeddings
+        UNION ALL SELECT 2000000 + vec_id, list_transform(embedding::DOUBLE[], lambda x, i: x + CASE WHEN i = 2 THEN 0.1 ELSE 0 END) FROM embeddings"""),
 }
