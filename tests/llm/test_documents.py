@@ -535,6 +535,42 @@ def test_languages(spark, docs, empty):
     assert languages.identify(docs, model).count() == len(documents())
 
 
+def test_mixtures_against_brute_force():
+    """Shares by plain expectation-maximisation, and the best of all sets of languages."""
+    rng = np.random.default_rng(17)
+    counts = rng.integers(0, 60, (4, languages.FEATURES)) * (rng.random((4, languages.FEATURES)) < 0.3)
+    model = languages.Model(["a", "b", "c", "d"], counts)
+    texts = [bytes(rng.integers(97, 123, n).astype(np.uint8).tolist()) for n in (3, 40, 400)] + ["Füße, straße".encode() * 9]
+    for text in texts:
+        padded = [b for b in b" " + bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in text) + b" "]
+        grams = Counter(tuple(padded[i : i + 3]) for i in range(len(padded) - 2))
+        n = Counter()
+        for (x, y, z), k in grams.items():
+            if (x, y, z) != (32, 32, 32):
+                n[((x << 16 | y << 8 | z) * 0x9E3779B1 % 2**32) >> 17] += k
+
+        def fit(use):
+            share = [1 / len(use)] * len(use)
+            for _ in range(languages.STEPS if len(use) > 1 else 0):
+                new = [0.0] * len(use)
+                for f, k in n.items():
+                    whole = sum(s * model.p[i, f] for s, i in zip(share, use, strict=True))
+                    for j, i in enumerate(use):
+                        new[j] += k * share[j] * model.p[i, f] / whole
+                share = [x / sum(n.values()) for x in new]
+            return share, sum(k * np.log(sum(s * model.p[i, f] for s, i in zip(share, use, strict=True))) for f, k in n.items())
+
+        order = sorted(range(4), key=lambda i: -fit([0, 1, 2, 3])[0][i])
+        cost = languages.PENALTY / 2 * np.log(max(2, sum(n.values())))
+        sets = [sorted(order[:k]) for k in range(1, 5)]
+        best = max(sets, key=lambda use: fit(use)[1] - (len(use) - 1) * cost)
+        share = dict(zip((model.langs[i] for i in best), fit(best)[0], strict=True))
+        found, top = model.infer(text)
+        assert dict(found) == pytest.approx(share, abs=1e-9) and top == pytest.approx(max(share.values()))
+        if best == sets[0]:  # no other single language does better than the one with the largest share of all
+            assert fit(best)[1] >= max(fit([i])[1] for i in range(4)) - cost
+
+
 def test_language_counts_leave_the_fold_out(spark):
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert languages.train(spark.createDataFrame([(i, "abc def", "xx") for i in ids], "doc_id long, text string, lang string")).langs == []

@@ -229,6 +229,45 @@ def test_extract_finds_repeats_across_groups(spark, monkeypatch):
         assert {r.page_id: r.text for r in pages.extract(table).collect()} == want
 
 
+@pytest.mark.parametrize("size", [2 << 20, 900])
+def test_extract_against_brute_force(spark, monkeypatch, size):
+    """Random pages of few words, with and without articles: every block against all windows of the host's other pages."""
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klm") for _ in range(n))
+    shared = [text(rng.randint(5, 30)) for _ in range(8)]
+    rows = []
+    for k in range(90):
+        parts = [("div", rng.choice(shared) if rng.random() < 0.5 else text(rng.randint(1, 40))) for _ in range(rng.randint(0, 6))]
+        parts += [("nav", rng.choice(shared))] * rng.randint(0, 1) + [("article", text(20))] * rng.randint(0, 1)
+        rng.shuffle(parts)
+        rows.append((k, f"http://h{k % 3}.org/{k}", parts))
+    want = {}
+    for k, url, parts in rows:
+        seen = set()
+        for j, other, theirs in rows:
+            if j != k and other[:9] == url[:9]:
+                flat = [w for kind, t in theirs if kind != "article" for w in t.split()]
+                seen |= {tuple(flat[i : i + 8]) for i in range(len(flat) - 7)}
+        flat = [w for kind, t in parts if kind != "article" for w in t.split()]
+        covered = [False] * len(flat)
+        for i in range(len(flat) - 7):
+            if tuple(flat[i : i + 8]) in seen:
+                covered[i : i + 8] = [True] * 8
+        out, at = [], 0
+        for kind, t in parts:
+            if kind == "article":
+                out.append(t)
+                continue
+            n = len(t.split())
+            if kind == "div" and sum(covered[at : at + n]) < 0.5 * n:
+                out.append(t)
+            at += n
+        want[k] = "\n\n".join(out)
+    monkeypatch.setattr(pages, "GROUP_BYTES", size)
+    table = spark.createDataFrame([(k, url, "".join(f"<{kind}>{t}</{kind}>" for kind, t in parts)) for k, url, parts in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(table.repartition(5)).collect()} == want
+
+
 def test_pipeline(spark, tmp_path):
     frame(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
