@@ -1,10 +1,11 @@
 """Near-duplicate texts by wide SimHash codes and exact shingle similarity.
 
 The pair of documents to find share at least a given part of their word shingles. Such pairs differ in too many of 64 bits
-for short codes, so codes are wider: segments of sign bits over the distinct pairs of neighbouring words. Documents that
+for short codes, so codes are wider: segments of sign bits over the distinct shingles. Documents that
 agree on a whole segment meet; a pigeonring filter over a 128-bit part of the code (a ring of eight segments, of which some
 chain must keep all prefixes within proportional budgets) and then the Hamming distance prune the pairs; the
-similarity of what is left is taken exactly over all shingles.
+similarity of what is left is taken exactly over all shingles. Where a segment's group leaves many more pairs than rows, its rows'
+shingles come together in parts of bounded size instead, and only links that join something leave.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ RADIUS, RING = 36, 8
 #: The first round only joins what is easily found: in so many segments, each document of a group is compared with so many that
 #: follow it in order of code. The second round has no such bounds.
 FIRST, AHEAD = 8, 96
+#: A group with more than so many pairs for each row gives its rows instead, in parts of at most so many rows and shingles.
+PAIRS_A_ROW, PART_ROWS, PART_SHINGLES = 8, 1_024, 4 << 20
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -64,8 +67,7 @@ def wide_code(features: np.ndarray, width: int) -> np.ndarray:
 
 
 def differing(similarity: float) -> float:
-    """The share of bits that differ between documents at the similarity, at worst: two sets of one size with a passage
-    replaced, whose pairs of words are as alike as their shingles. Scattered changes leave pairs of words more alike."""
+    """The share of bits that differ between documents at the similarity, at worst: two sets of one size."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
@@ -152,7 +154,8 @@ def forest(i: np.ndarray, j: np.ndarray, far: np.ndarray) -> list[int]:
 
 
 def dealt(codes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """Each row of ``doc_id``, ``code`` and ``joined`` once for each segment, with the segment's ``key`` and the code's first 128 bits."""
+    """Each row of ``doc_id``, ``code``, ``joined`` and ``n`` (its shingles) once for each segment, with the segment's ``key`` and the
+    code's first 128 bits."""
 
     def cut(batches):
         for batch in batches:
@@ -163,13 +166,14 @@ def dealt(codes: DataFrame, bits: int, segments: int) -> DataFrame:
                 part = slice(k, min(k + 1024, batch.num_rows))
                 n = part.stop - part.start
                 at = pa.array(np.repeat(np.arange(part.start, part.stop), segments))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(segments, dtype=np.int32), n)), pa.array(keys[part.start * segments : part.stop * segments]), batch.column(0).take(at), short.take(at), batch.column(2).take(at)], names=["segment", "key", "doc_id", "code", "joined"])
+                cells = [pa.array(np.tile(np.arange(segments, dtype=np.int32), n)), pa.array(keys[part.start * segments : part.stop * segments])]
+                yield pa.RecordBatch.from_arrays([*cells, batch.column(0).take(at), short.take(at), batch.column(2).take(at), batch.column(3).take(at)], names=["segment", "key", "doc_id", "code", "joined", "n"])
 
-    return codes.select("doc_id", "code", "joined").mapInArrow(cut, "segment int, key int, doc_id long, code binary, joined long").repartition("segment", "key")
+    return codes.select("doc_id", "code", "joined", "n").mapInArrow(cut, "segment int, key int, doc_id long, code binary, joined long, n int").repartition("segment", "key")
 
 
 def gathered(batches, rows=8_192):
-    """The batches of ``dealt`` in parts of some thousand rows: (run, ids, codes, joined)."""
+    """The batches of ``dealt`` in parts of some thousand rows: (run, ids, codes, joined, n)."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -184,7 +188,7 @@ def gathered(batches, rows=8_192):
 def _arrays(held):
     t = pa.Table.from_batches(held).combine_chunks()
     run = t.column(0).to_numpy().astype(np.int64) << 32 | t.column(1).to_numpy().astype(np.int64)
-    return run, t.column(2).to_numpy(), np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(-1, 2), t.column(4).to_numpy()
+    return run, t.column(2).to_numpy(), np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(-1, 2), t.column(4).to_numpy(), t.column(5).to_numpy()
 
 
 def _pairs(i, j):
@@ -192,26 +196,40 @@ def _pairs(i, j):
 
 
 def easy_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """From ``doc_id``, ``code`` and ``joined`` to distinct pairs (``a``, ``b``) that meet in a segment, next to each other, and are close: a
+    """From ``doc_id``, ``code``, ``joined`` and ``n`` to distinct pairs (``a``, ``b``) that meet in a segment, next to each other, and are close: a
     forest of each group's. This is a start: the similarity may refuse a pair of the forest and hold for one outside."""
 
     def meet(batches):
         held = None
         for part in gathered(batches):
-            run, ids, code, joined = part if held is None else (np.concatenate(x) for x in zip(held, part, strict=True))
+            run, ids, code, joined, n = part if held is None else (np.concatenate(x) for x in zip(held, part, strict=True))
             i, j, far = close_in_runs(run, code)
             pick = forest(i, j, far)
             yield _pairs(ids[i[pick]], ids[j[pick]])
             last = np.flatnonzero(run == run[-1])[-AHEAD:]
-            held = run[last], ids[last], code[last], joined[last]
+            held = run[last], ids[last], code[last], joined[last], n[last]
 
     met = dealt(codes, bits, segments).sortWithinPartitions("segment", "key", "code", "doc_id")
     return met.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
 
 
+def parts_of(sizes: np.ndarray) -> np.ndarray:
+    """Numbers rows in order: a part has at most ``PART_ROWS`` rows and, unless it is one row, ``PART_SHINGLES`` shingles."""
+    out, part, rows, held = np.zeros(len(sizes), np.int32), 0, 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if rows and (rows >= PART_ROWS or held + size > PART_SHINGLES):
+            part, rows, held = part + 1, 0, 0
+        out[k], rows, held = part, rows + 1, held + size
+    return out
+
+
 def other_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
-    """From ``doc_id``, ``code`` and ``joined`` to the distinct pairs (``a``, ``b``) that meet in a segment, are close and not yet joined: all
-    of them, however large the group. A group is held as numbers, 40 bytes a row."""
+    """From ``doc_id``, ``code``, ``joined`` and ``n`` to what meets in a segment, is close and not yet joined.
+
+    All such pairs (``a``, ``b``) of a group, or, where these are many more than its rows, the rows ``a`` of them: once for each two parts
+    (``p``, ``q``) of the group that a row is in, so every two rows are together in some ``segment``, ``key``, ``p``, ``q``. A group is held as numbers,
+    44 bytes a row.
+    """
 
     def whole_runs(parts):
         held = []
@@ -220,27 +238,75 @@ def other_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
                 held.append(part)
                 continue
             cut = int(np.searchsorted(part[0], part[0][-1])) if part[0][0] != part[0][-1] else 0
-            run, ids, code, joined = (np.concatenate([*x, y[:cut]]) for *x, y in zip(*held, part, strict=True))
-            if len(run):
-                yield run, ids, code, joined
+            if held:
+                done = tuple(np.concatenate([*x, y[:cut]]) for *x, y in zip(*held, part, strict=True))
+            else:
+                done = tuple(x[:cut] for x in part)
+            if len(done[0]):
+                yield done
             held = [tuple(x[cut:] for x in part)]
         if held:
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
+    def rows(segment=-1, key=-1, p=-1, q=-1, a=(), b=None):
+        n = len(a)
+        fixed = [pa.array(np.full(n, x, np.int32)) for x in (segment, key, p, q)]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64())], names=["segment", "key", "p", "q", "a", "b"])
+
     def meet(batches):
-        for run, ids, code, joined in whole_runs(gathered(batches)):
-            found, size = [], 0
+        for run, ids, code, joined, n in whole_runs(gathered(batches)):
+            of = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
+            most, count = PAIRS_A_ROW * np.bincount(of), np.zeros(of[-1] + 1, np.int64)
+            met, held = np.zeros(len(run), bool), []
             for i, j in across_in_runs(run, code, joined):
-                found.append((i, j))
-                size += len(i)
-                if size >= 65_536:
-                    yield _pairs(*(ids[np.concatenate(x)] for x in zip(*found, strict=True)))
-                    found, size = [], 0
-            if size:
-                yield _pairs(*(ids[np.concatenate(x)] for x in zip(*found, strict=True)))
+                count += np.bincount(of[i], minlength=len(count))
+                met[i] = met[j] = True
+                few = count[of[i]] <= most[of[i]]
+                held.append((i[few], j[few]))
+            if held:
+                i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                few = count[of[i]] <= most[of[i]]
+                yield rows(a=np.minimum(ids[i[few]], ids[j[few]]), b=np.maximum(ids[i[few]], ids[j[few]]))
+            for k in np.flatnonzero(count > most).tolist():
+                own = np.flatnonzero(met & (of == k))
+                segment, key = int(run[own[0]] >> 32), int(run[own[0]] & 0xFFFFFFFF)
+                part = parts_of(n[own])
+                for p in range(part[-1] + 1):
+                    for q in range(p, part[-1] + 1):
+                        if p < q or p == q == part[-1] == 0:
+                            yield rows(segment, key, p, q, a=ids[own[(part == p) | (part == q)]])
 
     met = dealt(codes, bits, segments).sortWithinPartitions("segment", "key", "joined", "doc_id")
-    return met.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    return met.mapInArrow(meet, "segment int, key int, p int, q int, a long, b long")
+
+
+def roots_of(sets: list[np.ndarray], similarity: float, columns: int = 4_096) -> np.ndarray:
+    """For each set of shingles the first one it reaches over pairs of at least the similarity, all pairs compared.
+
+    Only shingles of several sets count for what two have in common; products of the sets' rows of zeros and ones give it for all pairs.
+    """
+    size, n = np.array([len(x) for x in sets], np.float64), len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size.astype(int))
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    again = times > 1
+    column, owner = (np.cumsum(again) - 1)[column[again[column]]], owner[again[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((n, n), np.float32)
+    for begin in range(0, int(again.sum()), columns):
+        a, b = np.searchsorted(column, [begin, begin + columns])
+        x = np.zeros((n, columns), np.float32)
+        x[owner[a:b], column[a:b] - begin] = 1
+        both += x @ x.T
+    near = both >= similarity * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(near, True)
+    root = np.arange(n)
+    while True:
+        low = np.where(near, root[None, :], n).min(axis=1)
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -251,7 +317,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     take no part; a null text is an empty one. Whole texts count, however long: a text gives 8 bytes a shingle. Of equal texts one is
     compared. Other columns are ignored; empty tables give no rows.
 
-    Of each segment's group all pairs are compared, but those that the first round's verified links have joined.
+    Of each segment's group all pairs are compared, but those that the first round's verified links have joined. Links are
+    lost only where two documents meet in no segment, see ``MISS``.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
@@ -270,15 +337,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     def code(batches):
         for batch in batches:
-            codes, sets = [], []
+            codes, sets, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
                 h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-                codes.append(wide_code(shingle_hashes(h, 2), width).tobytes())
-                sets.append(pack(np.unique(shingle_hashes(h, shingle) >> np.uint64(24))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "code", "shingles"])
-
-    coded = put(texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(code, "doc_id long, code binary, shingles binary"), "codes")
+                h = shingle_hashes(h, shingle)
+                codes.append(wide_code(h, width).tobytes())
+                h = np.unique(h >> np.uint64(24))
+                sets.append(pack(h))
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.array(sets, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "code", "shingles", "n"])
+
+    coded = put(texts.select("doc_id", F.col("text").cast("binary")).mapInArrow(code, "doc_id long, code binary, shingles binary, n int"), "codes")
     copies = put(looked_up(named, firsts, "digest").select("doc_id", "first"), "copies")
     alone = firsts.select(F.col("first").alias("doc_id")).distinct()
 
@@ -297,13 +367,22 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
         pairs = put(pairs, f"pairs-{name}")
         return put(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"links-{name}")
 
+    def within(group):
+        sets, ids = [unpack(x) for x in group.column("shingles").to_pylist()], group.column("a").to_numpy()
+        root = roots_of(sets, similarity)
+        other = np.flatnonzero(ids[root] != ids)
+        return pa.table([pa.array(ids[root[other]]), pa.array(ids[other])], names=["a", "b"])
+
     # a first round joins the many copies of groups; the second takes every pair whose ends true links have not joined
-    codes = coded.select("doc_id", "code").join(alone, "doc_id", "left_semi").withColumn("joined", F.col("doc_id"))
+    codes = coded.select("doc_id", "code", "n").join(alone, "doc_id", "left_semi").withColumn("joined", F.col("doc_id"))
     first = linked(easy_pairs(codes, bits, min(FIRST, segments)), "first")
     joined = components(first).select(F.col("node").alias("doc_id"), "root")
-    codes = codes.join(joined, "doc_id", "left").select("doc_id", "code", F.coalesce("root", "doc_id").alias("joined"))
-    rest = linked(other_pairs(codes, bits, segments), "rest")
-    edges = first.union(rest).union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    codes = codes.join(joined, "doc_id", "left").select("doc_id", "code", "n", F.coalesce("root", "doc_id").alias("joined"))
+    met = put(other_pairs(codes, bits, segments), "met")
+    rest = linked(met.where("p < 0 AND a <> b").select("a", "b").distinct(), "rest")
+    full = met.where("p >= 0").drop("b").join(coded.select(F.col("doc_id").alias("a"), "shingles"), "a")
+    full = put(full.groupBy("segment", "key", "p", "q").applyInArrow(within, "a long, b long").distinct(), "links-full")
+    edges = first.union(rest).union(full).union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     out = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
     drop(docs.sparkSession, *paths)
     return out

@@ -255,6 +255,47 @@ def test_wide_simhash_in_large_groups_of_a_template(spark):
     assert not [i for i, c in got.items() if c != i - i % 2]
 
 
+def scattered(families, copies, length, changes, seed=19):
+    """Families of texts around a base, each with some of its words changed here and there."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for _ in range(families):
+        base = [word() for _ in range(length)]
+        for _ in range(copies):
+            t = list(base)
+            for k in rng.sample(range(length), rng.choice(changes)):
+                t[k] = word()
+            rows.append((len(rows), " ".join(t)))
+    return rows
+
+
+@pytest.mark.parametrize(("families", "copies", "changes"), [(150, 5, range(5)), (2, 400, range(1, 4)), (1, 700, range(1, 10))])
+def test_wide_simhash_loses_no_link_of_families(spark, monkeypatch, families, copies, changes):
+    """The components of all pairs, in small groups and in those that come together in parts."""
+    monkeypatch.setattr(near_texts, "PART_ROWS", 150)
+    rows = scattered(families, copies, 120, list(changes))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = []
+    for a in range(len(rows)):
+        for b in range(a - a % copies, a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    want = roots(range(len(rows)), links)
+    got = {r.doc_id: r.component_id for r in near_texts.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_roots_of_sets():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**40, 60)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 60), replace=False), rng.integers(0, 2**40, rng.integers(0, 12))])).astype(np.uint64) for _ in range(80)] + [np.zeros(0, np.uint64)] * 2
+    links = [(a, b) for a in range(82) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.7 * len(np.union1d(sets[a], sets[b]))]
+    want = roots(range(82), links)
+    assert near_texts.roots_of(sets, 0.7, columns=16).tolist() == [want[i] for i in range(82)]
+
+
 def test_segments_suffice_for_replaced_passages():
     """A replaced passage leaves pairs of words as alike as shingles; at 0.8 such texts must meet at every size."""
     rng = np.random.default_rng(2)
