@@ -30,7 +30,7 @@ RADIUS, RING = 36, 8
 #: follow it in order of code. The second round has no such bounds.
 FIRST, AHEAD = 8, 96
 #: A group with more than so many pairs for each row gives its rows instead, in parts of at most so many rows and shingles.
-PAIRS_A_ROW, PART_ROWS, PART_SHINGLES = 8, 1_024, 4 << 20
+PAIRS_A_ROW, PART_ROWS, PART_SHINGLES = 2, 512, 1 << 20
 _PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -111,8 +111,9 @@ def close_in_runs(run: np.ndarray, codes: np.ndarray, ahead: int = AHEAD) -> tup
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def across_in_runs(run: np.ndarray, codes: np.ndarray, joined: np.ndarray, rows: int = 32_768):
-    """All pairs of rows of equal ``run`` but not equal ``joined`` (both in order) within the radius, in parts (i, j)."""
+def across_in_runs(run: np.ndarray, codes: np.ndarray, joined: np.ndarray, size: np.ndarray, similarity: float, rows: int = 32_768):
+    """All pairs of rows of equal ``run`` but not equal ``joined`` (both in order) within the radius whose sets' sizes allow the
+    similarity, in parts (i, j)."""
     n = len(run)
 
     def ends(new):
@@ -128,7 +129,8 @@ def across_in_runs(run: np.ndarray, codes: np.ndarray, joined: np.ndarray, rows:
             i, j = i[inside], j[inside]
             if not len(i):
                 break
-            near = np.flatnonzero(ring_viable(codes[i], codes[j]))
+            near = np.flatnonzero(np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+            near = near[ring_viable(codes[i[near]], codes[j[near]])]
             near = near[np.bitwise_count(codes[i[near]] ^ codes[j[near]]).sum(axis=1, dtype=np.int64) <= RADIUS]
             if len(near):
                 yield i[near], j[near]
@@ -223,7 +225,7 @@ def parts_of(sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def other_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
+def other_pairs(codes: DataFrame, bits: int, segments: int, similarity: float) -> DataFrame:
     """From ``doc_id``, ``code``, ``joined`` and ``n`` to what meets in a segment, is close and not yet joined.
 
     All such pairs (``a``, ``b``) of a group, or, where these are many more than its rows, the rows ``a`` of them: once for each two parts
@@ -258,7 +260,7 @@ def other_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
             of = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
             most, count = PAIRS_A_ROW * np.bincount(of), np.zeros(of[-1] + 1, np.int64)
             met, held = np.zeros(len(run), bool), []
-            for i, j in across_in_runs(run, code, joined):
+            for i, j in across_in_runs(run, code, joined, n, similarity):
                 count += np.bincount(of[i], minlength=len(count))
                 met[i] = met[j] = True
                 few = count[of[i]] <= most[of[i]]
@@ -361,11 +363,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
                 good.append(both >= similarity * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sides = [coded.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")) for c in "ab"]
+    def sets_of(ids, name):
+        """The shingles of these documents; only these move on to where pairs meet."""
+        return put(coded.select("doc_id", "shingles").join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi"), f"sets-{name}")
 
-    def linked(pairs, name):
-        pairs = put(pairs, f"pairs-{name}")
-        return put(pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"links-{name}")
+    def linked(pairs, sets, name):
+        for c in "ab":
+            pairs = pairs.join(sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+        return put(pairs.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"links-{name}")
 
     def within(group):
         sets, ids = [unpack(x) for x in group.column("shingles").to_pylist()], group.column("a").to_numpy()
@@ -375,12 +380,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     # a first round joins the many copies of groups; the second takes every pair whose ends true links have not joined
     codes = coded.select("doc_id", "code", "n").join(alone, "doc_id", "left_semi").withColumn("joined", F.col("doc_id"))
-    first = linked(easy_pairs(codes, bits, min(FIRST, segments)), "first")
+    easy = put(easy_pairs(codes, bits, min(FIRST, segments)), "pairs")
+    first = linked(easy, sets_of(easy.select("a").union(easy.select("b")), "first"), "first")
     joined = components(first).select(F.col("node").alias("doc_id"), "root")
     codes = codes.join(joined, "doc_id", "left").select("doc_id", "code", "n", F.coalesce("root", "doc_id").alias("joined"))
-    met = put(other_pairs(codes, bits, segments), "met")
-    rest = linked(met.where("p < 0 AND a <> b").select("a", "b").distinct(), "rest")
-    full = met.where("p >= 0").drop("b").join(coded.select(F.col("doc_id").alias("a"), "shingles"), "a")
+    met = put(other_pairs(codes, bits, segments, similarity), "met")
+    sets = sets_of(met.select("a").union(met.where("p < 0").select("b")), "rest")
+    rest = linked(met.where("p < 0 AND a <> b").select("a", "b").distinct(), sets, "rest")
+    full = met.where("p >= 0").drop("b").join(sets.withColumnRenamed("doc_id", "a"), "a")
     full = put(full.groupBy("segment", "key", "p", "q").applyInArrow(within, "a long, b long").distinct(), "links-full")
     edges = first.union(rest).union(full).union(copies.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     out = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

@@ -315,7 +315,7 @@ def test_pairs_across_in_runs():
     run, joined = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 40, 300)
     joined = joined[np.lexsort((joined, run))]
     codes = np.zeros((300, 2), np.uint64)
-    got = {p for i, j in near_texts.across_in_runs(run, codes, joined, rows=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
+    got = {p for i, j in near_texts.across_in_runs(run, codes, joined, np.full(300, 5), 0.8, rows=64) for p in zip(i.tolist(), j.tolist(), strict=True)}
     assert got == {(i, j) for j in range(300) for i in range(j) if run[i] == run[j] and joined[i] != joined[j]}
 
 
