@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from hashlib import sha256
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -70,7 +69,8 @@ class Pieces:
         follow = f"[{SPACE}{re.escape(stops)}]"
         self.chunk = re.compile(f"{SPACE}*[{letters}]+(?={follow}|$)|{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.strange = re.compile("[^" + re.escape("".join(c for c in self.id if len(c) == 1)) + "]")
-        self.most, self.decimal, self.packed, self.suits, self.spines = most, {}, {}, {}, {}
+        self.most, self.cache, self.suits, self.spines = most, {}, {}, {}
+        self.decimal = list(map(str, range(len(self.text))))
 
     def _merged(self, text: str):
         """How merging builds a piece's text: (piece, left, right) with parts alike, a character having no parts; None
@@ -156,9 +156,9 @@ class Pieces:
             at = m.end()
         return ids + (self._run(chunk[at:]) if at < len(chunk) else [])
 
-    def _known(self, chunks: list[str], cache: dict, write) -> list:
-        """Of each chunk what ``write`` makes of its ids."""
-        out = []
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Of each chunk its ids as 32-bit integers, from the cache where it is there."""
+        cache, out = self.cache, []
         for chunk in chunks:
             got = cache.get(chunk)
             if got is None:
@@ -166,7 +166,7 @@ class Pieces:
                     cache.clear()
                 if len(self.suits) >= 2 * self.most:
                     self.suits.clear()
-                got = cache[chunk] = write(self._chunk_ids(chunk))
+                got = cache[chunk] = np.array(self._chunk_ids(chunk), "<i4").tobytes()
             out.append(got)
         return out
 
@@ -206,16 +206,18 @@ class Pieces:
         first = next((i for i in ids if self.kind[i] != CONTROL), None)
         return out[1:] if first is not None and self.kind[first] == NORMAL and self.text[first].startswith(SPACE) else out
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(self._known(self._chunks(text))), "<i4")
+
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of what the ids decode to."""
-        known = self._known(self._chunks(text), self.decimal, lambda x: (x, ",".join(map(str, x)).encode()))
-        ids = list(chain.from_iterable(x for x, _ in known))
-        return len(ids), sha256(b",".join(y for _, y in known)).hexdigest(), sha256(self.decode(ids).encode()).hexdigest()
+        ids = self.ids(text).tolist()
+        return len(ids), sha256(",".join(map(self.decimal.__getitem__, ids)).encode()).hexdigest(), sha256(self.decode(ids).encode()).hexdigest()
 
     def packed_ids(self, text: str) -> tuple[bytes, str]:
         """The ids as 32-bit integers, and SHA-256 of what they decode to."""
-        known = self._known(self._chunks(text), self.packed, lambda x: (x, np.array(x, "<i4").tobytes()))
-        return b"".join(y for _, y in known), sha256(self.decode(list(chain.from_iterable(x for x, _ in known))).encode()).hexdigest()
+        ids = self.ids(text)
+        return ids.tobytes(), sha256(self.decode(ids.tolist()).encode()).hexdigest()
 
 
 _LOADED: dict[str, Pieces] = {}
