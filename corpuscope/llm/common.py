@@ -71,6 +71,20 @@ def looked_up(rows: DataFrame, classes: DataFrame, key: str, parts: int = 10_000
     return near.unionByName(rest)
 
 
+def sifted(rows: DataFrame, key: str, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (one column), and few others: those whose hash has its bit set in a bitmap of ``2 ** bits`` bits.
+
+    All tasks get the bitmap, 2 MB whatever the number of ids, so rows that a join would drop need not move to it. With more ids than bits
+    it keeps everything, which costs time but changes nothing.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits))
+    ids = ids.toDF("_id").select(spot("_id").alias("_spot"))
+    maps = ids.groupBy(F.bitmap_bucket_number("_spot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_spot")).alias("_bits"))
+    marked = rows.withColumn("_spot", spot(key)).withColumn("_bucket", F.bitmap_bucket_number("_spot")).withColumn("_at", F.bitmap_bit_position("_spot"))
+    octet = F.conv(F.hex(F.expr("substring(_bits, int(_at div 8) + 1, 1)")), 16, 10).cast("int")
+    return marked.join(F.broadcast(maps), "_bucket").where(octet.bitwiseAND(F.expr("shiftleft(1, int(_at % 8))")) != 0).select(*rows.columns)
+
+
 def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
     """``docs`` with columns of the given names, which an operator needs for itself, under other names; and what to select at the end for
     the caller's columns under their own names."""

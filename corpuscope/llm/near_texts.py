@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscope.llm.common import drop, kept, looked_up, small_batches
+from corpuscope.llm.common import drop, kept, looked_up, sifted, small_batches
 from corpuscope.llm.components import components
 from corpuscope.llm.repeats import pack, unpack
 
@@ -365,7 +365,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
 
     def sets_of(ids, name):
         """The shingles of these documents; only these move on to where pairs meet."""
-        return put(coded.select("doc_id", "shingles").join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi"), f"sets-{name}")
+        return put(sifted(coded.select("doc_id", "shingles"), "doc_id", ids).join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi"), f"sets-{name}")
 
     def linked(pairs, sets, name):
         for c in "ab":

@@ -12,7 +12,7 @@ import xxhash
 
 from corpuscope.llm import languages, mixing, near_texts, repeats, resharding, sentencepieces, simhash, wavelet
 from corpuscope.llm.automaton import SuffixAutomaton
-from corpuscope.llm.common import fresh_path
+from corpuscope.llm.common import fresh_path, sifted
 from corpuscope.llm.components import components
 
 from .data import documents, frame, words
@@ -56,6 +56,16 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_sifted(spark):
+    rows = spark.range(20_000).selectExpr("id * 7 - 3 AS k", "id AS v")
+    ids = spark.range(300).selectExpr("id * 91 - 3")
+    want = set(range(-3, 300 * 91 - 3, 91))
+    for bits in (24, 9):
+        got = [r.k for r in sifted(rows, "k", ids, bits).collect()]
+        assert want <= set(got) and len(got) == len(set(got)) and (bits == 9 or len(got) < 310)
+    assert sifted(rows, "k", ids.limit(0)).count() == 0
+
+
 # 1: resharding
 
 
