@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import dates, languages
 from corpuscope.operators.files import Corpus, FileSearch
 from corpuscope.operators.history import CommitSearch, History, as_of
+from corpuscope.operators.lookup import shifted_line
 from corpuscope.plans.compiler import Settings
 from corpuscope.plans.query import MOST_RESULTS, OPERATORS, RETIRED, Query, parse
 
@@ -89,12 +92,83 @@ def as_text(items: DataFrame, form: str = "text") -> DataFrame:
     return items.select(F.concat_ws(":", "path", middle, F.coalesce("text", F.lit(""))).alias("value"))
 
 
+#: A part of a query between spaces, with what quotes and slashes keep together.
+_PART = re.compile(r'(?:"(?:\\.|[^"\\])*"?|(?<=[\s:(-])/(?:\\.|[^/\\])+/|^/(?:\\.|[^/\\])+/|[^\s"])+')
+
+
 def with_option(text: str, name: str, value: str | None) -> str:
-    """The query with a whole-query option set, or without it."""
-    query = parse(text)
-    drop = [t for t in text.split() if t.lower().startswith(f"{name}:")]
-    kept = " ".join(t for t in text.split() if t not in drop) if name in query.options else text
-    return kept if value is None else f"{kept} {name}:{value}".strip()
+    """The query with a whole-query option set, or without it. The rest stays as it was typed."""
+    names = {name} | {o.short for o in OPERATORS.values() if o.name == name and o.short}
+    if name in parse(text).options:
+        for m in reversed(list(_PART.finditer(text))):
+            if m[0].lower().partition(":")[0] in names and ":" in m[0]:
+                before, after = text[: m.start()], text[m.end() :]
+                text = before + after[1:] if after[:1] == " " and (not before or before.endswith(" ")) else before.removesuffix(" ") + after
+    return text if value is None else f"{text} {name}:{value}".strip()
+
+
+def ago(then: datetime, now: datetime) -> str:
+    """How long ago in its largest whole unit: "3 days ago"."""
+    seconds = (now - then).total_seconds()
+    for size, unit in ((365 * 86400, "year"), (30 * 86400, "month"), (7 * 86400, "week"), (86400, "day"), (3600, "hour"), (60, "minute")):
+        n = int(seconds // size)
+        if n >= 1:
+            return f"{n} {unit}{'' if n == 1 else 's'} ago"
+    return "just now"
+
+
+def ago_column(then, now: datetime):
+    """``ago`` as a column."""
+    seconds = F.unix_timestamp(F.lit(now)) - F.unix_timestamp(then)
+    out = F.when(then.isNotNull(), F.lit("just now"))
+    for size, unit in ((60, "minute"), (3600, "hour"), (86400, "day"), (7 * 86400, "week"), (30 * 86400, "month"), (365 * 86400, "year")):
+        n = F.floor(seconds / size)
+        out = F.when(n >= 1, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))).otherwise(out)
+    return out
+
+
+def resolved(labels: DataFrame, column: str, value: str) -> str | None:
+    """The one label of a column that an ``author:`` or ``repo:`` value means: the only one with it, or the one equal to it ignoring case."""
+    low = F.lower(column)
+    found = labels.where(F.contains(low, F.lit(value.lower()))).select(column).distinct().orderBy(low != value.lower(), column).limit(2).collect()
+    return found[0][0] if found and (len(found) == 1 or found[0][0].lower() == value.lower()) else None
+
+
+def definitions_query(name: str) -> str:
+    """The definitions named exactly so."""
+    return f"sym:/^{_escaped(name)}$/"
+
+
+def uses_query(name: str) -> str:
+    """The lines that use a name as a whole word."""
+    plain = re.fullmatch(r"[\w.]+", name) and name not in ("AND", "OR", "NOT")
+    return f"ref:{name}" if plain else "ref:" + _phrase(name)
+
+
+def selection_query(selection: str, most: int = 500) -> str | None:
+    """A query for a selected text: a phrase, or over several lines a regular expression; None for one too long or empty."""
+    kept = [x.strip() for x in selection.splitlines() if x.strip()]
+    if not kept or len(selection) > most:
+        return None
+    return _phrase(kept[0]) if len(kept) == 1 else "/" + r"\n\s*".join(map(_escaped, kept)) + "/"
+
+
+def _phrase(text: str) -> str:
+    return '"' + text.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def _escaped(text: str) -> str:
+    return re.sub(r"([\\^$.*+?()\[\]{}|/])", r"\\\1", text)
+
+
+def permalinks(items: DataFrame, pushed: DataFrame, bases: dict[str, str]) -> DataFrame:
+    """Results with ``url``: the line at the repository's pushed commit. ``pushed``: repo, sha, path, hunks of the current file against that commit (new_start,
+    new_count, old_count); ``bases``: repo to the address before ``/blob``. A line inside a change, or a file not pushed, has none."""
+    known = items.join(pushed, ["repo", "path"], "left")
+    base = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]) if bases else F.lit(None).cast("map<string,string>")
+    line = shifted_line(F.coalesce("hunks", F.array().cast("array<struct<new_start:int,new_count:int,old_count:int>>")), F.col("line"))
+    tail = F.when(F.col("line").isNull(), F.lit("")).otherwise(F.concat(F.lit("#L"), line.cast("string")))
+    return known.withColumn("url", F.concat(F.try_element_at(base, F.col("repo")), F.lit("/blob/"), "sha", F.lit("/"), "path", tail)).drop("hunks", "sha")
 
 
 def narrowed(text: str, name: str, value: str, leave_out: bool = False) -> str:

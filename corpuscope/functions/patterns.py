@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
+import regex as regex_module
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,15 @@ class Pattern:
         return not (self.anchored or self.newline or self.nullable)
 
 
+@lru_cache(maxsize=256)
+def python_pattern(java: str, multiline: bool = False):
+    """The Java spelling of a checked pattern for Python, by the ``regex`` module, which has ``\\p`` classes and the same groups."""
+    flags = re.match(r"\(\?([a-z]+)\)", java)
+    body = java[flags.end() :] if flags else java
+    wide = regex_module.I if flags and "i" in flags[1] else 0
+    return regex_module.compile(body.replace("\\z", "\\Z"), regex_module.V0 | wide | (regex_module.M if multiline else 0))
+
+
 def quoted(text: str) -> str:
     """The pattern of a literal text."""
     return re.sub(r"([\\.+*?()|\[\]{}^$#&~\-])", r"\\\1", text)
@@ -328,6 +339,18 @@ def owners_glob(pattern: str) -> str:
     return ("^" if anchored else "(?:^|.*/)") + body + tail + "\\z"
 
 
+def index_glob(pattern: str) -> str:
+    """A pattern of ``index.exclude``: without a slash at any depth, with one from the top folder; a folder takes its contents."""
+    body = pattern.rstrip("/") or pattern
+    if body.startswith("./"):
+        body = body[2:]
+    elif body.startswith("/") and len(body) > 1:
+        body = body[1:]
+    elif "/" not in body:
+        body = "**/" + body
+    return "^" + glob_body(body) + "(?:/.*)?\\z"
+
+
 def excludes_glob(pattern: str) -> str:
     """An editor's exclude pattern: braces and classes besides the stars, from the top folder, contents included."""
     out, i, depth = [], 0, 0

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpuscope.functions import languages
-from corpuscope.functions.patterns import FOLD, excludes_glob, owners_glob, quoted, regex, spans_lines, word_edges
+from corpuscope.functions.patterns import EXACT, FOLD, excludes_glob, owners_glob, path_glob, quoted, regex, spans_lines, word_edges
 from corpuscope.operators import structure
 from corpuscope.plans.compiler import Settings, Terms, all_of, any_of, condition, conjuncts, contributing, filter_reason, text_lines, truth, yes
 from corpuscope.plans.query import MOST_RESULTS, Node, Query, parse
@@ -156,13 +156,20 @@ class FileSearch:
         """Conjuncts with metadata first: they are cheap, and some reach the scan."""
         return sorted(nodes, key=lambda n: any(x.kind == "text" or (x.kind == "op" and self.meta(x) is None) for x in n.walk()))
 
-    def matching(self) -> DataFrame:
-        """Files that match as code, each conjunct a filter of its own, cheap ones first."""
+    def matching(self, leave: Node | None = None) -> DataFrame:
+        """Files that match as code, each conjunct a filter of its own, cheap ones first; ``leave`` names a conjunct that the caller tests."""
         df = self.visible(self.files)
         for kid in self._ordered(self.kids):
-            df = df.where(condition(kid, self.text_leaf))
+            if kid is not leave:
+                df = df.where(condition(kid, self.text_leaf))
         return df
 
+    def incomplete(self) -> DataFrame:
+        """``repo``, ``path``: files in which the search for a template ran out of steps, so matches may be missing and a NOT proves
+        nothing."""
+        found = [structure.searched_column(F.col("content"), F.col("lang"), n.value)["complete"] for n in (self.query.root.walk() if self.query.root else ()) if n.op == "struct"]
+        return self.visible(self.files).where(~all_of(found)).select("repo", "path")
+
     def _is_term(self, node: Node) -> bool:
         return node.term >= 0 and node.op != "symbol"
 
@@ -179,9 +186,17 @@ class FileSearch:
     def lines(self) -> DataFrame:
         """Code lines: ``repo``, ``path``, ``lang``, ``line`` (from 1), ``text``: those with a match of a term that made the file
         match."""
-        terms = self._line_terms()
-        if any(n.op == "struct" for n in terms):
-            return structure.structure_lines(self, terms)
+        return self._lines_of(self._line_terms())
+
+    def _lines_of(self, terms: list[Node]) -> DataFrame:
+        templates = [n for n in terms if n.op == "struct"]
+        if templates:
+            parts = [structure.structure_lines(self, n).withColumn("_k", F.lit(k)) for k, n in enumerate(templates)]
+            rest = [n for n in terms if n.op != "struct"]
+            if rest:
+                parts.append(self._lines_of(rest).select("repo", "repo_ord", "path", "lang", "line", "text").withColumn("_k", F.lit(len(parts))))
+            # a line that several terms match comes once, as the first of them shows it
+            return parts[0].drop("_k") if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("repo", "repo_ord", "path", "lang", "line").agg(F.min_by("text", "_k").alias("text"))
         if "in" in self.query.options or self.query.left_out_places:
             return self._placed_lines(terms)
         if any(n.form == "regex" and regex(n.value).newline and spans_lines(n.value) for n in terms):
@@ -215,22 +230,35 @@ class FileSearch:
 
     def definitions(self) -> DataFrame:
         """Definitions: of files that match, those whose name and kind the query names; words must stand in their lines."""
-        wanted = [n for n in self.kids if n.op in ("symbol", "kind")]
-        words = [n for n in self.kids if n.kind == "text" or n.op == "content"]
+        is_word = lambda n: n.kind == "text" or n.op == "content"
         df = self.visible(self.files)
-        for kid in self._ordered([n for n in self.kids if n not in words]):
-            df = df.where(truth(kid, self.text_leaf))
-        df = df.select("repo", "repo_ord", "path", "lang", *(["content"] if words else []), F.explode("symbols").alias("s"))
-        for n in wanted:
-            df = df.where(self.terms.in_path(n, F.col("s.name")) if n.op == "symbol" else F.col("s.kind") == n.value)
-        if words:
-            body = F.slice(text_lines(F.col("content")), F.col("s.line"), F.col("s.end") - F.col("s.line") + 1)
-            for n in words:
-                df = df.where(F.exists(body, self._tester(n)))
+        for kid in self._ordered([n for n in self.kids if not any(is_word(x) for x in n.walk())]):
+            df = df.where(condition(kid, self.text_leaf))  # files with such definitions
+        body = F.slice(text_lines(F.col("content")), F.col("s.line"), F.col("s.end") - F.col("s.line") + 1)
+
+        def leaf(n: Node, negated: bool) -> Column:
+            if n.op == "symbol" and not negated:
+                return self.terms.in_path(n, F.col("s.name"))
+            if n.op == "kind" and not negated:
+                return F.col("s.kind") == n.value
+            return F.exists(body, lambda x: self.terms.in_line(n, x)) if is_word(n) and not negated else self.text_leaf(n)
+
+        def holds(n: Node, negated: bool = False) -> Column:
+            if n.kind in ("and", "or"):
+                return (all_of if n.kind == "and" else any_of)([holds(k, negated) for k in n.kids])
+            return ~holds(n.kids[0], not negated) if n.kind == "not" else yes(leaf(n, negated))
+
+        df = df.select("*", F.explode("symbols").alias("s"))
+        for kid in self.kids:
+            df = df.where(holds(kid))
         return df.select("repo", "repo_ord", "path", "lang", "s.name", "s.kind", "s.line", "s.end")
 
-    def _tester(self, node: Node):
-        return lambda x: self.terms.in_line(node, x)
+    def wants_definitions(self) -> bool:
+        """Whether the query names definitions, anywhere but under NOT."""
+        def named(n: Node) -> bool:
+            return n.op in ("symbol", "kind") or (n.kind in ("and", "or") and any(map(named, n.kids)))
+
+        return self.query.root is not None and named(self.query.root)
 
     def results(self) -> DataFrame:
         """All sections in one table: definitions, then names, then code, by the query's kind of result."""
@@ -238,10 +266,12 @@ class FileSearch:
         wide = ["section", "repo", "repo_ord", "path", "lang", "line", "text"]
         has_text = bool(self._line_terms())
         parts = []
-        if any(n.op in ("symbol", "kind") for n in self.kids):
-            parts.append(self.definitions().select(F.lit(0).alias("section"), "repo", "repo_ord", "path", "lang", "line", F.col("name").alias("text")))
+        placed = "in" in self.query.options or self.query.left_out_places
+        if self.wants_definitions():
+            defined = self.definitions().where(F.lit("code" not in self.query.left_out_places))
+            parts.append(defined.select(F.lit(0).alias("section"), "repo", "repo_ord", "path", "lang", "line", F.col("name").alias("text")))
         else:
-            if kind in (None, "file") and "in" not in self.query.options:
+            if kind == "file" or (kind is None and not placed):
                 parts.append(self.names().select(F.lit(1).alias("section"), "repo", "repo_ord", "path", "lang", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("text")))
             if kind in (None, "code") and has_text:
                 parts.append(self.lines().select(F.lit(2).alias("section"), "repo", "repo_ord", "path", "lang", "line", "text"))
@@ -334,6 +364,8 @@ class FileSearch:
         """``reason``, ``filter``, ``hidden``: for each filter how many lines it alone hides. In one pass over the files: a
         file counts where exactly one conjunct fails and that is the filter."""
         filters = [(k, n, filter_reason(n)) for k, n in enumerate(self.kids) if filter_reason(n)]
+        if not filters:
+            return self.corpus.files.sparkSession.createDataFrame([], "reason string, filter string, hidden long")
         terms = self._line_terms()
         sized = self.visible(self.files).select(*[truth(n, self.text_leaf).alias(f"_k{k}") for k, n in enumerate(self.kids)], *[F.col(c) for c in ("content", "symbols", "path")])
         fails = sum((~F.col(f"_k{k}")).cast("int") for k in range(len(self.kids)))
@@ -343,6 +375,29 @@ class FileSearch:
         sums = sized.agg(*[F.coalesce(F.sum(F.when(~F.col(f"_k{k}"), F.col("_n"))), F.lit(0)).cast("long").alias(f"_h{k}") for k, _, _ in filters])
         return sums.select(F.explode(F.array(*[F.struct(F.lit(r).alias("reason"), F.lit(self.query.text[n.start : n.end]).alias("filter"), F.col(f"_h{k}").alias("hidden")) for k, n, r in filters])).alias("x")).select("x.*")
 
+    def hidden_by_type(self) -> DataFrame:
+        """``hidden``: the code lines that a ``type:file`` query leaves out."""
+        return self.relaxed(type="code").lines().agg(F.count("*").alias("hidden"))
+
+    def shown_excluded(self) -> DataFrame:
+        """With ``excludes:no``: ``shown``, how many results the editor's excludes would hide, and ``patterns``, those that would."""
+        found = self.results().join(self.files.where("hiding IS NOT NULL").select("repo", "path", "hiding"), ["repo", "path"])
+        return found.agg(F.count("*").alias("shown"), F.sort_array(F.collect_set("hiding")).alias("patterns"))
+
+    def name_marks(self, page: DataFrame) -> DataFrame:
+        """A page of names with ``hits``: UTF-16 spans of the words in the path, or, where a query has none, what its first ``file:`` matched, without
+        a slash before it."""
+        terms = [(n.term, self.terms.java(n)) for n in self._line_terms()]
+        if terms:
+            return page.withColumn("hits", structure.highlight_column(F.col("path"), terms)["hits"])
+        named = [n for n in self.kids if n.op == "file" and n.form != "phrase"]
+        if not named:
+            return page.withColumn("hits", F.array().cast("array<struct<start:int,end:int,term:int>>"))
+        body = path_glob(named[0].value) if named[0].form == "glob" else regex(named[0].value).java
+        marks = structure.highlight_column(F.col("path"), [(-1, (EXACT if self.terms.exact else FOLD) + body)])["hits"]
+        lead = lambda h: F.when(F.substring(F.col("path"), h["start"] + 1, F.lit(1)) == "/", 1).otherwise(0)
+        return page.withColumn("hits", F.transform(F.slice(marks, 1, 1), lambda h: F.struct((h["start"] + lead(h)).alias("start"), h["end"].alias("end"), h["term"].alias("term"))))
+
     def relaxed(self, **options: str) -> FileSearch:
         """The same query with other options, say case="no"; what an option hides is the difference of the totals."""
         query = parse(self.query.text)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpuscope.functions import languages
 from corpuscope.operators.files import top_labels
-from corpuscope.plans.compiler import Settings, Terms, all_of, any_of, conjuncts, contributing, filter_reason, truth, yes
+from corpuscope.plans.compiler import Settings, Terms, all_of, any_of, condition, conjuncts, contributing, filter_reason, truth, yes
 from corpuscope.plans.query import MOST_RESULTS, Node, Query, parse
 
 
@@ -62,13 +64,13 @@ class CommitSearch:
             return t.path_value(node, F.col("repo"))
         return None
 
-    def hit_lines(self, node: Node) -> Column:
-        """The changed lines, on the searched side, that a term matches."""
-        def hit(x):
+    def hit(self, node: Node):
+        """Whether a changed line, on the searched side, matches a term."""
+        def test(x):
             found = self.terms.in_line(node, x["text"])
             return (x["sign"] == self.side) & found if self.side else found
 
-        return F.filter("lines", hit)
+        return test
 
     def leaf(self, node: Node) -> Column:
         whole = self.commit_leaf(node)
@@ -80,7 +82,7 @@ class CommitSearch:
             return languages.detect(F.col("path")) == node.value
         if node.kind == "op" and node.op == "is":
             return {"test": languages.is_test, "vendored": languages.is_vendored, "generated": languages.is_generated}[node.value](F.col("path"))
-        in_lines = F.coalesce(F.size(self.hit_lines(node)), F.lit(0)) > 0
+        in_lines = yes(F.exists("lines", self.hit(node)))
         if node.kind == "text" and not self.side:
             return in_lines | self.terms.in_line(node, self.message()) if node.form != "regex" else in_lines | F.exists(F.split(self.message(), "\n", -1), lambda x: self.terms.in_line(node, x))
         return in_lines
@@ -95,14 +97,14 @@ class CommitSearch:
         commits = self.history.commits
         for kid in self.kids:
             if self._commit_only(kid):
-                commits = commits.where(truth(kid, self.leaf))
+                commits = commits.where(condition(kid, self.leaf))
         return commits.join(self.history.changes, self.history.keys, "left")
 
     def _matching_views(self) -> DataFrame:
         df = self.views
         for kid in self.kids:
             if not self._commit_only(kid):
-                df = df.where(truth(kid, self.leaf))
+                df = df.where(condition(kid, self.leaf))
         return df
 
     FACTS = ("repo", "repo_ord", "store_ord", "sha", "author_name", "landed", "subject")
@@ -116,8 +118,20 @@ class CommitSearch:
         side = (lambda x: x["sign"] == self.side) if self.side else (lambda x: F.lit(True))
         n_lines = F.coalesce(F.size(F.filter("lines", lambda x: side(x) & lines(x))), F.lit(0))
         df = self._matching_views().select(*self.FACTS, "path", n_lines.alias("_n"))
-        out = df.groupBy(*self.FACTS).agg(F.count("path").alias("n_files"), F.slice(F.sort_array(F.collect_list("path")), 1, most_files).alias("files"), F.sum("_n").alias("n_lines"))
-        return out
+        # only the first paths of a commit are gathered, whatever it touched
+        place = F.row_number().over(Window.partitionBy(*self.FACTS).orderBy(F.asc_nulls_last("path")))
+        df = df.withColumn("_first", F.when(place <= most_files, F.col("path")))
+        return df.groupBy(*self.FACTS).agg(F.count("path").alias("n_files"), F.sort_array(F.collect_list("_first")).alias("files"), F.sum("_n").alias("n_lines"))
+
+    def preview(self, sha: str, most_files: int = 100) -> DataFrame:
+        """A commit's changed files: ``path``, ``old_path``, ``lines`` (sign, text and whether a term of the query marks it), and ``hidden``, whether
+        the query's filters leave the file out."""
+        terms = [n for n in self.query.terms if n.op in ("", "content")]
+        only = [k for k in self.kids if filter_reason(k) and not self._commit_only(k)]
+        marks = F.transform("lines", lambda x: F.struct(x["sign"].alias("sign"), x["text"].alias("text"), any_of([self.hit(n)(x) for n in terms]).alias("marked")))
+        commits = self.history.commits.where(F.startswith("sha", F.lit(sha)))
+        df = commits.join(self.history.changes, self.history.keys)
+        return df.select("repo", "sha", "path", "old_path", marks.alias("lines"), (~all_of([truth(k, self.leaf) for k in only])).alias("hidden")).orderBy("repo", "sha", "path").limit(most_files)
 
     def ordered(self) -> DataFrame:
         """Newest first; at one time earlier repos first, within a repo in the store's order."""
@@ -131,6 +145,8 @@ class CommitSearch:
     def hidden(self) -> DataFrame:
         """``filter``, ``hidden``: commits that do not match, by the first filter without which one of their files would."""
         filters = [(k, n) for k, n in enumerate(self.kids) if filter_reason(n)]
+        if not filters:
+            return self.history.commits.sparkSession.createDataFrame([], "filter string, hidden long")
         flags = [yes(truth(n, self.leaf)).alias(f"_k{k}") for k, n in enumerate(self.kids)]
         df = self.history.commits.join(self.history.changes, self.history.keys, "left").select("repo", "sha", *flags)
         every = [F.col(f"_k{k}") for k in range(len(self.kids))]
@@ -168,12 +184,29 @@ def files_at(tree: DataFrame, current: DataFrame, renames: DataFrame | None = No
 
 
 def names_over_time(renames: DataFrame) -> DataFrame:
-    """Where a path of the past is now: ``repo``, ``path``, ``now_path`` from ``renames`` (repo, ord from oldest, old_path, new_path). Chains are
-    followed by joining the map with itself, each round twice as far."""
-    now = renames.select("repo", F.col("old_path").alias("path"), F.col("new_path").alias("now_path"))
-    for _ in range(6):
-        further = now.select("repo", F.col("path").alias("now_path"), F.col("now_path").alias("next"))
-        now = now.join(further, ["repo", "now_path"], "left").select("repo", "path", F.coalesce("next", "now_path").alias("now_path"))
-    return now
-
-
+    """Where a path of the past is now: ``repo``, ``path``, ``now_path`` from ``renames`` (repo, ord from oldest, old_path, new_path).
+
+    A rename goes on with the next later one of its new path; a path that was renamed more than once is the one of its last. Each round follows
+    chains twice as far, from a checkpoint, until none goes on.
+    """
+    first = renames.select("repo", "ord", F.col("old_path").alias("path"), F.col("new_path").alias("now_path"))
+    later = renames.select("repo", F.col("ord").alias("_ord"), F.col("old_path").alias("now_path"), F.col("new_path").alias("_path"))
+    at = F.struct("_ord", F.col("now_path").alias("old"), F.col("_path").alias("now"))
+    step = first.join(later, ["repo", "now_path"]).where("_ord > ord").groupBy("repo", "ord", "path").agg(F.min(at).alias("to"))
+    now = cut(first.join(step, ["repo", "ord", "path"], "left"))
+    while now.where("to IS NOT NULL").limit(1).count():
+        target = now.select("repo", F.col("ord").alias("_ord"), F.col("path").alias("_old"), F.col("now_path").alias("_now"), F.col("to").alias("_next"))
+        met = now.withColumns({"_ord": F.col("to._ord"), "_old": F.col("to.old")}).join(target, ["repo", "_ord", "_old"], "left")
+        now = cut(met.select("repo", "ord", "path", F.coalesce("_now", "now_path").alias("now_path"), F.col("_next").alias("to")))
+    return now.groupBy("repo", "path").agg(F.max_by("now_path", "ord").alias("now_path"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows from a checkpoint in the folder that the session names, or on a single machine in a private one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="corpuscope-"))
+    return df.checkpoint()

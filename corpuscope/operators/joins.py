@@ -34,7 +34,7 @@ def overlaid(base: DataFrame, overlay: DataFrame, masked: DataFrame, keys: list[
 def new_commits(after: DataFrame, before: DataFrame) -> DataFrame:
     """Commits not seen before that are also newer than everything seen: old ones that a rewrite brings are not new."""
     newest = before.groupBy("repo").agg(F.max("landed").alias("_newest"))
-    return after.join(before.select("repo", "sha"), ["repo", "sha"], "left_anti").join(F.broadcast(newest), "repo", "left").where(F.col("_newest").isNull() | (F.col("landed") > F.col("_newest"))).drop("_newest")
+    return after.join(before.select("repo", "sha"), ["repo", "sha"], "left_anti").join(newest, "repo", "left").where(F.col("_newest").isNull() | (F.col("landed") > F.col("_newest"))).drop("_newest")
 
 
 def cell_of_line(lines: DataFrame, cells: Column) -> DataFrame:
@@ -46,14 +46,16 @@ def cell_of_line(lines: DataFrame, cells: Column) -> DataFrame:
 def merge_owner(parents: DataFrame, tips: DataFrame, spark) -> DataFrame:
     """Which merge brought a commit in: ``repo``, ``sha``, ``merged_in``, the first merge in order of ``ord`` that reaches it off the first-parent
     line. ``parents``: repo, sha, parent, nth. ``tips``: repo, sha, ord of the first-parent line."""
-    parents.createOrReplaceTempView("_merge_parents")
-    tips.createOrReplaceTempView("_merge_tips")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE reach(repo, sha, merged_in, ord) AS (
-          SELECT p.repo, p.parent, t.sha, t.ord FROM _merge_tips t JOIN _merge_parents p ON p.repo = t.repo AND p.sha = t.sha AND p.nth > 1
+          SELECT p.repo, p.parent, t.sha, t.ord FROM {tips} t JOIN {parents} p ON p.repo = t.repo AND p.sha = t.sha AND p.nth > 1
           UNION ALL
-          SELECT p.repo, p.parent, r.merged_in, r.ord FROM reach r JOIN _merge_parents p ON p.repo = r.repo AND p.sha = r.sha
-            LEFT ANTI JOIN _merge_tips t ON t.repo = p.repo AND t.sha = p.parent)
+          SELECT p.repo, p.parent, r.merged_in, r.ord FROM reach r JOIN {parents} p ON p.repo = r.repo AND p.sha = r.sha
+            LEFT ANTI JOIN {tips} t ON t.repo = p.repo AND t.sha = p.parent)
         SELECT r.repo, r.sha, min_by(r.merged_in, r.ord) AS merged_in
-        FROM reach r LEFT ANTI JOIN _merge_tips t ON t.repo = r.repo AND t.sha = r.sha GROUP BY r.repo, r.sha
-    """)
+        FROM reach r LEFT ANTI JOIN {tips} t ON t.repo = r.repo AND t.sha = r.sha GROUP BY r.repo, r.sha
+    """,
+        parents=parents,
+        tips=tips,
+    )

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.patterns import python_pattern
 from corpuscope.operators.files import FileSearch
 from corpuscope.plans.query import units
 
@@ -36,9 +37,7 @@ def plan(search: FileSearch, new: str) -> DataFrame:
     if len(terms) != 1 or terms[0].op not in ("", "content") or "\\n" in terms[0].value:
         raise ValueError("a replacement needs exactly one word, phrase or regular expression")
     node = terms[0]
-    source = node.value if node.form == "regex" else re.escape(node.value)
-    source = rf"\b(?:{source})\b" if search.terms.whole else source
-    pattern = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", source), 0 if search.terms.exact else re.I)
+    pattern = python_pattern(search.terms.java(node))
     is_regex = node.form == "regex"
 
     @F.pandas_udf(EDITS)
@@ -54,6 +53,14 @@ def plan(search: FileSearch, new: str) -> DataFrame:
     return edited.groupBy("repo", "path").agg(F.sum(F.size("edits")).cast("long").alias("n"), F.sort_array(F.collect_list(row)).alias("lines")).select("repo", "path", "n", F.sha2(F.array_join(F.col("lines.text"), "\n"), 256).alias("digest"), "lines")
 
 
+def bounded(search: FileSearch, new: str, most_bytes: int = 16 << 20) -> tuple[DataFrame, bool]:
+    """``plan`` within its limits: with more than ``MOST_MATCHES`` matches, or more than ``most_bytes`` of edits as JSON, the counts alone and False. What
+    the plan's own operators find is summed where it lies; only two numbers come to the driver."""
+    found = plan(search, new)
+    n, size = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.length(F.to_json("lines"))), F.lit(0))).first()
+    return (found, True) if n <= MOST_MATCHES and size <= most_bytes else (found.drop("lines"), False)
+
+
 def checked(plan_: DataFrame) -> tuple[DataFrame, bool]:
     """The plan, or with too many matches its counts alone and False."""
     total = plan_.agg(F.sum("n")).first()[0] or 0

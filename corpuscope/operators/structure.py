@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscope.functions.patterns import python_pattern
+
 # Per language the marks of line comments, block comments, and strings.
 SYNTAX = """
 python; #; ; \"\"\" ''' " '
@@ -136,11 +138,18 @@ MOST_HITS, CLIPPED, LEAD = 800, 400, 80
 SPANS = "array<struct<start:int,end:int>>"
 
 
-def find_column(content: Column, lang: Column, source: str) -> Column:
-    """The spans of a template in a text, empty where the template's words are not all in it."""
-    @F.pandas_udf(SPANS)
-    def find(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in find_structures(t, x or "", source)[0]] if t else [] for t, x in zip(texts, langs, strict=True)])
+def hole_text(code: str, most: int = 80) -> str:
+    """What a hole took, as a result lists it: runs of space as one, at most ``most`` characters."""
+    text = " ".join(code.split())
+    return text if len(text) <= most else text[: most - 1] + "\u2026"
+
+
+def searched_column(content: Column, lang: Column, source: str) -> Column:
+    """The ``spans`` of a template in a text, empty where the template's words are not all in it, and whether the search was ``complete``."""
+    @F.pandas_udf(f"spans {SPANS}, complete boolean")
+    def find(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
+        found = [find_structures(t, x or "", source) if t else ([], True) for t, x in zip(texts, langs, strict=True)]
+        return pd.DataFrame({"spans": [[{"start": a, "end": b} for a, b in spans] for spans, _ in found], "complete": [c for _, c in found]})
 
     words = [p for p in template(source) if isinstance(p, str) and re.match(r"\w", p)]
     gate = F.lit(True)
@@ -149,17 +158,20 @@ def find_column(content: Column, lang: Column, source: str) -> Column:
     return find(F.when(gate, content), lang)
 
 
-def structure_lines(search, terms) -> DataFrame:
-    """Lines on which structural matches begin, with the lines they cover."""
-    node = next(n for n in terms if n.op == "struct")
-    df = search.matching().select("repo", "repo_ord", "path", "lang", "content", F.explode(find_column(F.col("content"), F.col("lang"), node.value)).alias("m"))
+def find_column(content: Column, lang: Column, source: str) -> Column:
+    return searched_column(content, lang, source)["spans"]
+
+
+def structure_lines(search, node) -> DataFrame:
+    """Lines on which a template's matches begin, with the lines they cover. Each text is searched once: what has no match has no rows."""
+    df = search.matching(leave=node).select("repo", "repo_ord", "path", "lang", "content", F.explode(find_column(F.col("content"), F.col("lang"), node.value)).alias("m"))
     begin = F.length(F.regexp_replace(F.substring(F.col("content"), F.lit(1), F.col("m.start")), "[^\n]", "")) + 1
     return df.select("repo", "repo_ord", "path", "lang", begin.alias("line"), F.expr("substring(content, m.start + 1, m.end - m.start)").alias("text"))
 
 
 def matches_in(content: Column, lang: Column, java_pattern: str, kinds: tuple[str, ...], left_out: tuple[str, ...] = ()) -> Column:
     """The matches of a pattern that lie in the wanted places. Prose languages have no places: they keep all."""
-    python = re.compile(re.sub(r"^\(\?[a-z]+\)", "", java_pattern), re.I if "i" in java_pattern[:7] else 0)
+    python = python_pattern(java_pattern)
 
     @F.pandas_udf(SPANS)
     def keep(texts: pd.Series, langs: pd.Series) -> pd.Series:
@@ -304,8 +316,7 @@ def fuzzy_score(name: str, word: str) -> int | None:
 
 def multiline_lines(search, terms) -> DataFrame:
     """Matches over line ends, each on its first line, joined where their lines overlap, with up to ``MOST_SHOWN`` further lines."""
-    flags = re.M | (0 if search.terms.exact else re.I)
-    patterns = [re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", search.terms.java(n).split(")", 1)[1]).replace("\\z", "$"), flags) for n in terms]
+    patterns = [python_pattern(search.terms.java(n).replace("\\z", "$"), multiline=True) for n in terms]
 
     @F.pandas_udf("array<struct<line:int,text:string>>")
     def find(texts: pd.Series) -> pd.Series:
@@ -324,8 +335,7 @@ def multiline_lines(search, terms) -> DataFrame:
 
 def highlight_column(text: Column, terms: list[tuple[int, str]]) -> Column:
     """All matches of terms (number, Java pattern) in a line as UTF-16 spans, and the line cut to ``CLIPPED`` characters from ``LEAD`` before the first match."""
-    python = lambda p: re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", re.sub(r"^\(\?[a-z]+\)", "", p)).replace("\\z", r"\Z").replace(r"\p{L}\p{Nd}_", r"\w"), re.I if "i" in p[:6] else 0)
-    compiled = [(k, python(p)) for k, p in terms]
+    compiled = [(k, python_pattern(p)) for k, p in terms]
 
     @F.pandas_udf("struct<hits:array<struct<start:int,end:int,term:int>>,clipped:string>")
     def run(lines: pd.Series) -> pd.DataFrame:

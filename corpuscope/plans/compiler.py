@@ -105,7 +105,9 @@ class Terms:
         """The Java pattern of a term."""
         if node.form == "regex":
             body = regex(node.value).java
-            body = f"(?<![{WORD_CHAR}])(?:{body})(?![{WORD_CHAR}])" if self.whole else body
+            # an edge counts only where the match itself has a word character there
+            ahead, behind = f"(?![{WORD_CHAR}])", f"(?<![{WORD_CHAR}])"
+            body = f"(?:{behind}|{ahead})(?:{body})(?:{ahead}|{behind})" if self.whole else body
         else:
             body = word_edges(node.value) if self.whole or node.op == "ref" else quoted(node.value)
         return (EXACT if self.exact or node.op == "ref" else FOLD) + body

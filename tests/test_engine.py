@@ -191,6 +191,11 @@ def test_commit_details(history):
 def test_renames_and_revisions(spark):
     renames = spark.createDataFrame([("r", 1, "a", "b"), ("r", 2, "b", "c"), ("r", 3, "c", "d"), ("r", 1, "x", "y")], "repo string, ord int, old_path string, new_path string")
     assert {r.path: r.now_path for r in names_over_time(renames).collect()} == {"a": "d", "b": "d", "c": "d", "x": "y"}
+    # a later file of an old name goes its own way, and chains have any length
+    again = spark.createDataFrame([("r", 1, "x", "y"), ("r", 2, "z", "x"), *(("s", k, f"n{k}", f"n{k + 1}") for k in range(90))], "repo string, ord int, old_path string, new_path string")
+    got = {(r.repo, r.path): r.now_path for r in names_over_time(again).collect()}
+    assert got["r", "x"] == "y" and got["r", "z"] == "x" and {got["s", f"n{k}"] for k in range(90)} == {"n90"}
+    assert names_over_time(again.limit(0)).count() == 0
     tree = spark.createDataFrame([("r", "same", "1"), ("r", "gone", "2"), ("r", "edit", "3"), ("r", "x", "4")], "repo string, path string, content string")
     now = spark.createDataFrame([("r", "same", "1"), ("r", "edit", "9"), ("r", "y", "4")], "repo string, path string, content string")
     assert {r.path: r.since_revision for r in files_at(tree, now, renames).collect()} == {"same": None, "gone": "deleted", "edit": "changed", "x": "renamed"}
@@ -278,3 +283,75 @@ def test_at(spark, history):
     assert at("text at:2026-09-29") == [("a.py", "old text")]
     assert at("text at:2026-10") == [("a.py", "new text"), ("b.py", "lib text")]
     assert at("text at:v1", tags=tags) == [("a.py", "old text")] and at("text at:c2") == [("a.py", "new text")]
+
+
+def test_classes_of_letters_in_scanned_places(corpus):
+    """Patterns that Python's own module lacks, wherever texts are scanned."""
+    assert lines(corpus, r"/\p{L}+off/ in:comments") == [("src/retry_test.py", 2)]
+    assert lines(corpus, "word:yes backoff in:code") == [("src/client.py", 4)]
+    search = FileSearch(corpus, r"/\p{Lu}elvin/", Settings(now=NOW))
+    shown = search.shown(search.page()).where("line IS NOT NULL").first()
+    assert [(h.start, h.end) for h in shown.hits] == [(0, 6)]
+    plan = replace.plan(FileSearch(corpus, r"/(\p{L}+)ry/ -f:src", Settings(now=NOW)), "$1").collect()
+    assert [(r.path, r.n) for r in plan] == [("README.md", 1)]
+
+
+def test_word_edges_of_expressions(corpus):
+    """An edge counts only where the match has a word character there."""
+    assert lines(corpus, r"word:yes /retry\(/ type:code") == [("src/retry.ts", 2)]
+    assert lines(corpus, r"word:yes /etry/ type:code") == []
+
+
+def test_hidden_without_filters(corpus, history):
+    assert FileSearch(corpus, "retry", Settings(now=NOW)).hidden().collect() == []
+    assert CommitSearch(history, "type:commit retry", Settings(now=NOW)).hidden().collect() == []
+
+
+def test_sections_of_definitions(corpus):
+    rows = FileSearch(corpus, "sym:get OR sym:Client", Settings(now=NOW)).results().collect()
+    assert sorted((r.section, r.text) for r in rows) == [(0, "Client"), (0, "get")]
+    rows = FileSearch(corpus, "sym:get OR (kind:class call)", Settings(now=NOW)).results().collect()
+    assert sorted((r.section, r.text) for r in rows) == [(0, "Client"), (0, "get")]
+    assert FileSearch(corpus, "sym:get -in:code", Settings(now=NOW)).results().count() == 0
+    assert {r.section for r in FileSearch(corpus, "retry -in:comments", Settings(now=NOW)).results().collect()} == {2}
+
+
+def test_templates_beside_words(corpus):
+    assert lines(corpus, 'struct:"backoff(:[c], tries=:[n])" import') == [("src/client.py", 1), ("src/client.py", 4)]
+    assert lines(corpus, 'struct:"backoff(:[c])" OR struct:"def :[f](self)"') == [("src/client.py", 3), ("src/client.py", 4)]
+    assert FileSearch(corpus, 'struct:"backoff(:[c])"', Settings(now=NOW)).incomplete().count() == 0
+
+
+def test_notes_on_types_and_excludes(corpus):
+    assert FileSearch(corpus, "type:file retry", Settings(now=NOW)).hidden_by_type().first().hidden == len(lines(corpus, "retry type:code"))
+    shown = FileSearch(corpus, "retry excludes:no", Settings(now=NOW)).shown_excluded().first()
+    assert (shown.shown, shown.patterns) == (2, ["vendor/**"])
+    marks = lambda text: {r.path: [(h.start, h.end) for h in r.hits] for s in [FileSearch(corpus, text, Settings(now=NOW))] for r in s.name_marks(s.names()).collect()}
+    assert marks("type:file retry -f:test") == {"src/retry.ts": [(4, 9)]}
+    assert marks("type:file f:/client") == {"src/client.py": [(4, 10)]}
+
+
+def test_commit_preview(history):
+    rows = CommitSearch(history, "type:commit retry -f:test", Settings(now=NOW)).preview("c1").collect()
+    assert [(r.path, r.hidden) for r in rows] == [("a/new.py", False), ("b_test.py", True)]
+    assert [(x.sign, x.marked) for x in rows[0].lines] == [("+", True), ("-", True)]
+
+
+def test_bounded_replacements(corpus, monkeypatch):
+    search = FileSearch(corpus, "retry type:code", Settings(now=NOW))
+    assert replace.bounded(search, "again")[1]
+    assert not replace.bounded(search, "again", most_bytes=10)[1]
+    monkeypatch.setattr(replace, "MOST_MATCHES", 1)
+    counts, whole = replace.bounded(search, "again")
+    assert not whole and "lines" not in counts.columns
+
+
+def test_commit_bounds_reach_the_scan(spark):
+    search = CommitSearch(queries.adapters.order_history(spark, DATA), "type:commit since:1y ring", queries.ORDERS)
+    plan = search.commits()._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_orderdate" in plan
+
+
+def test_a_template_is_searched_once(spark):
+    found = FileSearch(queries.adapters.pages(spark, DATA), 'struct:"<h1>:[t]</h1>"', Settings(now=NOW)).lines()
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

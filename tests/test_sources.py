@@ -115,3 +115,33 @@ def test_query_edits():
     assert api.narrowed("a", "file", "x y", True) == 'a -file:"x y"'
     assert "since:" in api.complete("x si") and api.complete("kind:c") == ["class"] and api.complete("author:j", {"author": ["jane"]}) == ["jane"]
     assert len(api.guide()) == 23
+
+
+def test_options_inside_quotes_stay(spark):
+    assert api.with_option('"a  b" case:yes', "case", None) == '"a  b"'
+    assert api.with_option('"x case:yes y" case:yes  z', "case", "no") == '"x case:yes y"  z case:no'
+    assert api.with_option("/a  b/ c", "case", "yes") == "/a  b/ c case:yes"
+
+
+def test_times_ago(spark):
+    from datetime import datetime
+
+    now = datetime(2026, 10, 3, 10)
+    cases = {datetime(2026, 10, 3, 9, 59, 30): "just now", datetime(2026, 10, 3, 9, 58): "2 minutes ago", datetime(2026, 10, 2, 9): "1 day ago", datetime(2026, 9, 20): "1 week ago", datetime(2024, 10, 1): "2 years ago"}
+    assert {t: api.ago(t, now) for t in cases} == cases
+    rows = spark.createDataFrame([(t,) for t in cases], "t timestamp")
+    assert {r.t: r.a for r in rows.select("t", api.ago_column(rows.t, now).alias("a")).collect()} == cases
+
+
+def test_seeds_and_labels(spark):
+    assert api.definitions_query("a.b") == r"sym:/^a\.b$/" and api.uses_query("foo") == "ref:foo" and api.uses_query("a b") == 'ref:"a b"'
+    assert api.selection_query(' x "y"\n') == r'"x \"y\""' and api.selection_query("a(\n  b") == r"/a\(\n\s*b/" and api.selection_query(" \n") is None
+    labels = spark.createDataFrame([("Jane",), ("Janet",), ("Bob",)], "name string")
+    assert (api.resolved(labels, "name", "jane"), api.resolved(labels, "name", "jan"), api.resolved(labels, "name", "bo")) == ("Jane", None, "Bob")
+
+
+def test_permalinks(spark):
+    items = spark.createDataFrame([("r", "a", 9), ("r", "a", 3), ("r", "b", 1), ("r", "a", None)], "repo string, path string, line int")
+    pushed = spark.createDataFrame([("r", "c0", "a", [(3, 2, 1)])], "repo string, sha string, path string, hunks array<struct<new_start:int,new_count:int,old_count:int>>")
+    got = {(r.path, r.line): r.url for r in api.permalinks(items, pushed, {"r": "https://h/r"}).collect()}
+    assert got == {("a", 9): "https://h/r/blob/c0/a#L8", ("a", 3): None, ("b", 1): None, ("a", None): "https://h/r/blob/c0/a"}
