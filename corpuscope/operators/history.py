@@ -6,7 +6,7 @@ import tempfile
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -201,12 +201,20 @@ def names_over_time(renames: DataFrame) -> DataFrame:
     return now.groupBy("repo", "path").agg(F.max_by("now_path", "ord").alias("now_path"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows from a checkpoint in the folder that the session names, or on a single machine in a private one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local["):
+def cut_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names, or on a single machine a private one."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="corpuscope-"))
+        path = tempfile.mkdtemp(prefix="corpuscope-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows from a checkpoint."""
+    cut_dir(df.sparkSession)
     return df.checkpoint()

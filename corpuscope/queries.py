@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from corpuscope.operators import joins, lookup, replace, statistics, structure
 from corpuscope.operators.files import Corpus, FileSearch, hiding_pattern, owners_of
 from corpuscope.operators.history import CommitSearch, as_of, newest_touch
 from corpuscope.plans.compiler import Settings
-from corpuscope.sources import adapters
+from corpuscope.sources import adapters, snapshot
 from corpuscope.streaming.watch import apply_changes, latest, watch_matches
 
 NOW = datetime(2001, 8, 2)
@@ -258,14 +259,14 @@ def state_counts(spark, sf_dir):
 
 
 def _recent(spark: SparkSession, sf_dir: str) -> Corpus:
-    """Parts as files, last changed by the newest order that has them; parts without orders have no date."""
+    """Parts as files, last changed by the newest urgent order that sent them back; parts without one have no date."""
     items, orders, part = (adapters.read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
-    last = items.join(orders, items.l_orderkey == orders.o_orderkey).where("l_partkey % 3 = 0").groupBy("l_partkey").agg(F.max("o_orderdate").alias("last_at"))
+    last = items.join(orders, items.l_orderkey == orders.o_orderkey).where("l_returnflag = 'R' AND o_orderpriority LIKE '1%'").groupBy("l_partkey").agg(F.max("o_orderdate").alias("last_at"))
     files = part.join(last, part.p_partkey == last.l_partkey, "left").select(F.lower("p_brand").alias("repo"), F.concat(F.lit("lib/part_"), F.col("p_partkey"), F.lit(".py")).alias("path"), F.lit("python").alias("lang"), F.col("p_name").alias("content"), "last_at")
     return Corpus(files)
 
 
-_RECENT = "last AS (SELECT l_partkey, max(o_orderdate) AS last_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_partkey % 3 = 0 GROUP BY l_partkey), f AS (SELECT 'lib/part_' || p_partkey || '.py' AS path, p_name AS content, last_at FROM part LEFT JOIN last ON p_partkey = l_partkey)"
+_RECENT = "last AS (SELECT l_partkey, max(o_orderdate) AS last_at FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND o_orderpriority LIKE '1%' GROUP BY l_partkey), f AS (SELECT 'lib/part_' || p_partkey || '.py' AS path, p_name AS content, last_at FROM part LEFT JOIN last ON p_partkey = l_partkey)"
 
 
 @query(f"WITH {_RECENT} SELECT path, last_at FROM f WHERE regexp_matches(content, '(?i)ring') ORDER BY last_at DESC NULLS LAST, path LIMIT 200")
@@ -330,14 +331,14 @@ def replace_count(spark, sf_dir):
 def in_comments_html(spark, sf_dir):
     files = adapters.pages(spark, sf_dir).files
     spans = structure.matches_in(F.col("content"), F.col("lang"), "(?iud)ad", ("comments",))
-    return files.select("page_id", F.size(spans).cast("long").alias("n")).where("n > 0")
+    return files.select("page_id", F.explode(spans)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '<h1>[^<]*</h1>')) AS BIGINT) AS n FROM pages WHERE n > 0")
 def struct_html(spark, sf_dir):
     files = adapters.pages(spark, sf_dir).files
     found = structure.find_column(F.col("content"), F.col("lang"), "<h1>:[title]</h1>")
-    return files.select("page_id", F.size(found).cast("long").alias("n")).where("n > 0")
+    return files.select("page_id", F.explode(found)).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<h[1-6][^>]*>[^<]{1,80}')) AS BIGINT) AS n FROM pages")
@@ -346,10 +347,121 @@ def symbols_extract(spark, sf_dir):
     return files.select("page_id", F.size(structure.symbols_column(F.col("content"), F.col("lang"))).cast("long").alias("n"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*/?', ''), '(\.html)?([?#].*)?$', ''), '$', '-' || page_id || '.html') AS path, unnest(regexp_extract_all(html, '(?i)<h[1-6][^>]*>([^<]+)', 1)) AS name FROM pages),
+  r AS (SELECT *, CASE WHEN lower(name) = 'the' THEN 0 WHEN starts_with(lower(name), 'the') THEN 1 WHEN contains(lower(name), 'the') THEN 2 WHEN regexp_matches(lower(name), 't.*h.*e') THEN 3 END AS rank FROM f)
+  SELECT path, name, CAST(rank AS INT) AS rank FROM r WHERE rank IS NOT NULL ORDER BY rank, length(name), name, path LIMIT 20""")
 def symbol_lookup(spark, sf_dir):
-    files = adapters.pages(spark, sf_dir).files
-    return lookup.find_symbols(files.withColumn("symbols", structure.symbols_column(F.col("content"), F.col("lang"))), "the")
+    files = adapters.pages(spark, sf_dir).files.select(F.lit("web").alias("repo"), "path", "lang", "content")
+    return lookup.find_symbols(files.withColumn("symbols", structure.symbols_column(F.col("content"), F.col("lang"))), "the").select("path", "name", "rank")
+
+
+# Parts as the files of a code base: their size says where they lie and what state they are in, their name gives a definition.
+_CODE = """f AS (SELECT p_partkey, lower(p_brand) AS repo, CASE WHEN p_size <= 8 THEN 'tests/' WHEN p_size <= 16 THEN 'vendor/' ELSE 'src/' END || 'part_' || p_partkey || CASE WHEN p_size BETWEEN 17 AND 24 THEN '.pb.go' ELSE '.go' END AS path,
+  p_name || chr(10) || p_type || ' of ' || p_name || chr(10) || p_brand AS content, split_part(p_name, ' ', 1) AS name, CASE WHEN p_size > 40 THEN 'class' ELSE 'function' END AS kind, p_size > 45 AS open, p_size < 4 AS dirty, p_name, p_type FROM part),
+  l AS (SELECT * EXCLUDE (content), content, unnest(string_split(content, chr(10))) AS text, unnest([1, 2, 3]) AS line FROM f)"""
+CODE_EXCLUDES = ["**/*.pb.go", "vendor/**"]
+
+
+def _code(spark: SparkSession, sf_dir: str, **rules) -> Corpus:
+    part, size = adapters.read(spark, sf_dir, "part"), F.col("p_size")
+    folder = F.when(size <= 8, "tests/").when(size <= 16, "vendor/").otherwise("src/")
+    path = F.concat(folder, F.lit("part_"), F.col("p_partkey"), F.when(size.between(17, 24), ".pb.go").otherwise(".go"))
+    symbol = F.struct(F.split("p_name", " ")[0].alias("name"), F.when(size > 40, "class").otherwise("function").alias("kind"), F.lit(1).alias("line"), F.lit(2).alias("end"))
+    text = F.concat_ws("\n", "p_name", F.concat_ws(" of ", "p_type", "p_name"), "p_brand")
+    return Corpus(part.select(F.lower("p_brand").alias("repo"), F.lit(0).alias("repo_ord"), path.alias("path"), F.lit("go").alias("lang"), text.alias("content"), F.array(symbol).alias("symbols"), (size > 45).alias("open"), (size < 4).alias("dirty")), **rules)
+
+
+def _code_lines(name: str, text: str, where: str, hit: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return FileSearch(_code(spark, sf_dir), text, ORDERS).lines().select("path", F.col("line").cast("long").alias("line"))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH {_CODE} SELECT path, CAST(line AS BIGINT) AS line FROM l WHERE ({where}) AND ({hit})"
+
+
+_RING = "regexp_matches(text, '(?i)ring')"
+_code_lines("is_test_paths", "is:test ring", "starts_with(path, 'tests/')", _RING)
+_code_lines("is_vendored_paths", "-is:vendored ring", "NOT starts_with(path, 'vendor/')", _RING)
+_code_lines("is_generated_paths", "is:generated ring", "path LIKE '%.pb.go'", _RING)
+_code_lines("is_open_files", "is:open ring", "open", _RING)
+_code_lines("is_changed_files", "(is:changed OR is:open) ring", "dirty OR open", _RING)
+_code_lines("uses_without_definitions", "ref:blue", "contains(content, 'blue')", r"regexp_matches(text, '(^|[^\p{L}\p{Nd}_])blue($|[^\p{L}\p{Nd}_])') AND NOT (name = 'blue' AND line = 1)")
+_code_lines("word_regex", "word:yes /r[a-z]+/", "true", r"regexp_matches(text, '(?i)(^|[^\p{L}\p{Nd}_])r[a-z]+($|[^\p{L}\p{Nd}_])')")
+_code_lines("multiline_regex", r"/ring\nSMALL of/", r"regexp_matches(content, '(?i)ring\nsmall of')", "line = 1")
+_code_lines("classes_of_letters", r"/^\p{Lu}+ of \p{Ll}+ bolt/", "true", "regexp_matches(text, '(?i)^[a-z]+ of [a-z]+ bolt')")
+
+
+def _code_query(name: str, text: str, sql: str, pick, **rules) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pick(FileSearch(_code(spark, sf_dir, **rules), text, ORDERS))
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH {_CODE} {sql}"
+
+
+_defined = lambda s: s.definitions().select("path", "name", "kind")
+_code_query("symbol_names", "sym:/^(blue|red)$/", "SELECT path, name, kind FROM f WHERE name IN ('blue', 'red')", _defined)
+_code_query("kind_filter", "kind:class ring", "SELECT path, name, kind FROM f WHERE kind = 'class' AND regexp_matches(p_name, '(?i)ring')", _defined)
+_code_query("symbol_or_kind", "(sym:blue OR kind:class) -f:vendor", "SELECT 0 AS section, path, name AS text FROM f WHERE (contains(name, 'blue') OR kind = 'class') AND NOT contains(path, 'vendor')", lambda s: s.results().select("section", "path", "text"))
+_code_query("order_by_file", "ring type:code order:file count:70", f"SELECT path, CAST(line AS BIGINT) AS line FROM l WHERE {_RING} ORDER BY path, line LIMIT 70", lambda s: s.page().select("path", F.col("line").cast("long").alias("line")))
+_code_query("count_all", "ring type:code order:file count:all", f"SELECT path, CAST(line AS BIGINT) AS line FROM l WHERE {_RING}", lambda s: s.page().select("path", F.col("line").cast("long").alias("line")))
+_code_query("all_sections", "part_1", f"SELECT 1 AS section, path, NULL::BIGINT AS line FROM f WHERE contains(path, 'part_1') UNION ALL SELECT 2, path, line FROM l WHERE contains(text, 'part_1')", lambda s: s.results().select("section", "path", F.col("line").cast("long").alias("line")))
+_code_query("names_and_lines", "large -f:tests", f"SELECT 1 AS section, path, NULL::BIGINT AS line FROM f WHERE regexp_matches(path, '(?i)large') UNION ALL SELECT 2, path, CAST(line AS BIGINT) FROM l WHERE regexp_matches(text, '(?i)large') AND NOT contains(path, 'tests')", lambda s: s.results().select("section", "path", F.col("line").cast("long").alias("line")))
+_code_query("facet_owner", "ring type:code", f", o AS (SELECT CASE WHEN starts_with(path, 'tests/') THEN ['@qa', '@all'] WHEN starts_with(path, 'src/') THEN ['none'] ELSE ['@all'] END AS own FROM l WHERE {_RING}) SELECT label, count(*) AS n FROM (SELECT unnest(own) AS label FROM o) GROUP BY label",
+            lambda s: s.facets().where("field = 'owner'").select("label", "n"), owners=[("*", ["@all"]), ("tests/", ["@qa", "@all"]), ("src/", [])])
+_code_query("hidden_by_type", "type:file ring", f"SELECT count(*) AS hidden FROM l WHERE {_RING}", lambda s: s.hidden_by_type())
+_code_query("shown_excluded", "ring type:code excludes:no", f"SELECT count(*) AS shown, array_to_string(list_sort(list(DISTINCT CASE WHEN path LIKE '%.pb.go' THEN '**/*.pb.go' ELSE 'vendor/**' END)), ' ') AS patterns FROM l WHERE {_RING} AND (path LIKE '%.pb.go' OR path LIKE 'vendor/%')",
+            lambda s: s.shown_excluded().withColumn("patterns", F.array_join("patterns", " ")), excludes=CODE_EXCLUDES)
+_code_query("hidden_word", "word:yes in type:code", f"SELECT count(*) AS loose, count(*) FILTER (regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{Nd}}_])in($|[^\\p{{L}}\\p{{Nd}}_])')) AS strict FROM l WHERE regexp_matches(text, '(?i)in')",
+            lambda s: s.relaxed(word="no").total().select(F.col("total").cast("long").alias("loose")).crossJoin(s.total().select(F.col("total").cast("long").alias("strict"))))
+_code_query("name_marks", "type:file part_1 -f:vendor", "SELECT path, CAST(instr(path, 'part_1') - 1 AS BIGINT) AS start, CAST(instr(path, 'part_1') + 5 AS BIGINT) AS \"end\" FROM f WHERE contains(path, 'part_1') AND NOT contains(path, 'vendor')",
+            lambda s: s.name_marks(s.names()).select("path", F.col("hits")[0]["start"].cast("long").alias("start"), F.col("hits")[0]["end"].cast("long").alias("end")))
+_code_query("line_marks", "ring type:code count:all", f"SELECT path, CAST(line AS BIGINT) AS line, CAST(instr(text, 'ring') - 1 AS BIGINT) AS start, CASE WHEN line > 1 THEN string_split(content, chr(10))[line - 1] END AS before FROM l WHERE {_RING}",
+            lambda s: s.shown(s.page(), 1).select("path", F.col("line").cast("long").alias("line"), F.col("hits")[0]["start"].cast("long").alias("start"), F.get("before", F.lit(0)).alias("before")))
+_code_query("template_and_word", 'struct:":[t] of blue :[n]" widget', "SELECT path, CAST(line AS BIGINT) AS line FROM l WHERE contains(content, ' of blue ') AND contains(content, 'widget') AND (contains(text, 'widget') OR line = 1)", lambda s: s.lines().select("path", F.col("line").cast("long").alias("line")))
+_code_query("innermost_definition", "ring type:code", f"SELECT path, CAST(line AS BIGINT) AS line, name FROM l WHERE {_RING} AND line BETWEEN 1 AND 2",
+            lambda s: joins.innermost(s.lines().select("path", "line"), s.files.select("path", F.inline("symbols")).withColumnRenamed("line", "begin"), ["path"], "line", "begin", "end", "name").select("path", F.col("line").cast("long").alias("line"), "name"))
+
+
+@query(f"WITH {_CODE} SELECT count(*) FILTER (open) AS open, count(*) FILTER (dirty) AS changed, count(*) FILTER (path LIKE 'tests/%') AS test, count(*) FILTER (path LIKE '%.pb.go') AS generated, count(*) FILTER (path LIKE 'vendor/%') AS vendored FROM f")
+def code_state_counts(spark, sf_dir):
+    return statistics.state_counts(_code(spark, sf_dir).table())
+
+
+@query(f"WITH {FILES}, {LINES} SELECT path, CAST(line AS BIGINT) AS line FROM lines WHERE {_has('erin', 'text')} AND {_has('when')}")
+def snapshot_search(spark, sf_dir):
+    """A search over a saved snapshot, whose posting lists leave only files that may match."""
+    from corpuscope.operators.history import cut_dir
+
+    saved = snapshot.save(adapters.document_files(spark, sf_dir).drop("doc_id"), f"{cut_dir(spark)}/snapshot-{uuid.uuid4().hex}")
+    return FileSearch(snapshot.load(spark, saved).narrowed("erin content:when type:code"), "erin content:when type:code").lines().where(F.col("text").rlike("(?i)erin")).select("path", F.col("line").cast("long").alias("line"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT o_custkey AS repo, o_orderkey AS ord, o_orderpriority AS path, o_orderstatus || substr(o_orderpriority, 1, 1) AS mid, o_orderpriority AS p FROM orders),
+  r AS (SELECT repo, ord * 2 AS ord, path, mid AS now_path FROM e UNION ALL SELECT repo, ord * 2 + 1, mid, CASE WHEN mid LIKE 'F%' THEN '3-MEDIUM' ELSE 'end' END FROM e),
+  c AS (SELECT repo, ord, path, now_path, ord AS seen FROM r UNION ALL
+        SELECT c.repo, c.ord, c.path, n.now_path, n.ord FROM c JOIN r n ON n.repo = c.repo AND n.path = c.now_path AND n.ord = (SELECT min(x.ord) FROM r x WHERE x.repo = c.repo AND x.path = c.now_path AND x.ord > c.seen)),
+  ends AS (SELECT repo, ord, path, arg_max(now_path, seen) AS now_path FROM c GROUP BY repo, ord, path)
+  SELECT repo, path, arg_max(now_path, ord) AS now_path FROM ends GROUP BY repo, path""")
+def renames_by_order(spark, sf_dir):
+    """Names over time: each order renames a file of its customer twice; many chains go through the same names."""
+    from corpuscope.operators.history import names_over_time
+
+    orders = adapters.read(spark, sf_dir, "orders")
+    mid = F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1))
+    one = orders.select(F.col("o_custkey").alias("repo"), (F.col("o_orderkey") * 2).alias("ord"), F.col("o_orderpriority").alias("old_path"), mid.alias("new_path"))
+    two = orders.select(F.col("o_custkey").alias("repo"), (F.col("o_orderkey") * 2 + 1).alias("ord"), mid.alias("old_path"), F.when(F.startswith(mid, F.lit("F")), "3-MEDIUM").otherwise("end").alias("new_path"))
+    return names_over_time(one.unionByName(two))
+
+
+@query("""SELECT event_id, CASE WHEN s >= 31536000 THEN CAST(s // 31536000 AS VARCHAR) || ' year' WHEN s >= 2592000 THEN CAST(s // 2592000 AS VARCHAR) || ' month' WHEN s >= 604800 THEN CAST(s // 604800 AS VARCHAR) || ' week'
+  WHEN s >= 86400 THEN CAST(s // 86400 AS VARCHAR) || ' day' WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || ' hour' WHEN s >= 60 THEN CAST(s // 60 AS VARCHAR) || ' minute' ELSE 'just now' END AS ago
+  FROM (SELECT event_id, CAST(epoch(TIMESTAMP '2024-02-01 00:00:00') - floor(epoch(ts)) AS BIGINT) AS s FROM events)""")
+def times_ago(spark, sf_dir):
+    from corpuscope.api import ago_column
+
+    events = adapters.read(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    return events.select("event_id", F.regexp_replace(ago_column(F.col("ts"), datetime(2024, 2, 1)), "s? ago$", "").alias("ago"))
 
 
 @query("SELECT 'errors' AS query, 'events' AS repo, upper(printf('%x', event_id)) AS sha FROM events WHERE event_type = 'error' UNION ALL SELECT 'seven', 'events', upper(printf('%x', event_id)) FROM events WHERE contains('user' || user_id, 'user7') AND regexp_matches(event_type || chr(10) || coalesce(props, ''), '(?i)click')")

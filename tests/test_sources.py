@@ -11,7 +11,7 @@ from corpuscope import api
 from corpuscope.operators.files import Corpus, FileSearch
 from corpuscope.operators.history import History, files_at
 from corpuscope.plans.compiler import Settings
-from corpuscope.sources import git, text
+from corpuscope.sources import git, snapshot, text
 
 
 def test_decode():
@@ -145,3 +145,27 @@ def test_permalinks(spark):
     pushed = spark.createDataFrame([("r", "c0", "a", [(3, 2, 1)])], "repo string, sha string, path string, hunks array<struct<new_start:int,new_count:int,old_count:int>>")
     got = {(r.path, r.line): r.url for r in api.permalinks(items, pushed, {"r": "https://h/r"}).collect()}
     assert got == {("a", 9): "https://h/r/blob/c0/a#L8", ("a", 3): None, ("b", 1): None, ("a", None): "https://h/r/blob/c0/a"}
+
+
+def test_snapshots(spark, tmp_path):
+    """A search with posting lists finds what it finds without; folders that are not whole are refused."""
+    import random
+
+    rng = random.Random(2)
+    words = ["timeout", "Retry", "caf\u00e9", "\u212aelvin", "re", "ab cd", "x_y", "stra\u00dfe", "\u017fee", "\u0130stanbul"]
+    rows = [(f"r{k % 3}", f"f{k}", "text", None if k == 7 else "\n".join(" ".join(rng.choice(words) for _ in range(4)) for _ in range(k % 5))) for k in range(60)]
+    files = spark.createDataFrame(rows, "repo string, path string, lang string, content string")
+    home = snapshot.save(files, str(tmp_path))
+    saved = snapshot.load(spark, home)
+    assert sorted(map(str, saved.files.select(*files.columns).collect())) == sorted(map(str, files.collect()))
+    from corpuscope.operators.files import Corpus, FileSearch
+
+    lines = lambda corpus, text: sorted((r.path, r.line) for r in FileSearch(corpus, text).lines().collect())
+    for text in ("timeout type:code", "retry kelvin type:code", "(timeout OR re) -retry type:code", "/time[a-z]+/ see type:code", "case:yes Retry repo:r1 type:code", "re type:code", "caf\u00e9 type:code", "absent type:code", "STRASSE type:code", '"ab cd" type:code'):
+        assert lines(saved.narrowed(text), text) == lines(Corpus(files), text), text
+    assert saved.narrowed("timeout absent type:code").files.count() == 0
+    with pytest.raises(snapshot.BadSnapshot):
+        snapshot.load(spark, str(tmp_path))
+    spark.createDataFrame([('{"version": 0}',)], "value string").write.mode("overwrite").text(f"{home}/manifest")
+    with pytest.raises(snapshot.BadSnapshot):
+        snapshot.load(spark, home)
