@@ -364,8 +364,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def sets_of(ids, name):
-        """The shingles of these documents; only these move on to where pairs meet."""
-        return put(sifted(coded.select("doc_id", "shingles"), "doc_id", ids).join(ids.toDF("doc_id").distinct(), "doc_id", "left_semi"), f"sets-{name}")
+        """The shingles of these documents and few others; only these move on to where pairs meet."""
+        return put(sifted(coded.select("doc_id", "shingles"), "doc_id", ids), f"sets-{name}")
 
     def linked(pairs, sets, name):
         for c in "ab":
