@@ -163,10 +163,17 @@ class Encoder:
         tokenize, written = self.tokenizer.model.tokenize, self.written
         single = [bool(_PIECE.fullmatch(t)) for t in texts]
         others = iter(self._encoded([t for t, s in zip(texts, single, strict=True) if not s]))
-        return [np.array([k.id for k in tokenize(t.encode().decode("latin-1").translate(written))], dtype="<u4").tobytes() if s else next(others) for t, s in zip(texts, single, strict=True)]
+        space, out = written[32], []
+        for t, s in zip(texts, single, strict=True):
+            if s:  # ASCII letters are written as they are
+                ids = [k.id for k in tokenize(t.replace(" ", space) if t.isascii() else t.encode().decode("latin-1").translate(written))]
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append(next(others))
+        return out
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids as little-endian unsigned 32-bit integers."""
