@@ -66,8 +66,8 @@ class WaveletMatrix:
         for bit, plane, zeros in zip(range(levels), reversed(self.planes), reversed(self.zeros), strict=True):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             before = np.empty_like(now)
-            before[~ones] = now[:zeros]
-            before[ones] = now[zeros:] | kind(1 << bit)
+            before[np.flatnonzero(~ones)] = now[:zeros]  # faster than by a mask
+            before[np.flatnonzero(ones)] = now[zeros:] | kind(1 << bit)
             now = before
         return now
 
