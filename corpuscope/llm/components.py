@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import drop, kept
+from corpuscope.llm.common import drop, kept, looked_up
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) -> DataFrame:
     """Maps every node of ``edges`` to the smallest node that it reaches: columns ``node``, ``root``.
 
     Large-star and small-star rounds in turn: each hangs neighbours on the smallest node in sight, with one minimum
-    and one join on the node, so no task gathers a node's neighbours and Spark can split the join of a hub. Rounds
-    end when a round leaves the edges as they were; the edges of each round are a table in the shared folder.
+    and one join on the node. A node that many larger ones hang on is looked up in a table that all tasks get, so no
+    task gathers them. Rounds end when a round leaves the edges as they were; the edges of each round are a table in
+    the shared folder.
     Loops, repeated edges and edges with a null end have no effect; no edges give no rows.
     """
     spark = edges.sparkSession
@@ -24,10 +25,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 60) ->
     for _ in range(limit):
         if not mark[0]:
             break
-        both = now.select(F.col("u").alias("n"), F.col("v").alias("o")).union(now.select(F.col("v").alias("n"), F.col("u").alias("o")))
-        low = both.groupBy("n").agg(F.least(F.min("o"), F.col("n")).alias("m"))
-        # large star: every larger neighbour of n hangs on n's smallest
-        large = now.select(F.col("u").alias("n"), "v").join(low, "n").select("v", F.col("m").alias("u"))
+        both = now.select("u", F.col("v").alias("o")).union(now.select(F.col("v").alias("u"), F.col("u").alias("o")))
+        low = both.groupBy("u").agg(F.least(F.min("o"), F.col("u")).alias("m"), F.count_if(F.col("o") > F.col("u")).alias("n")).where("n > 0")
+        # large star: every larger neighbour of u hangs on u's smallest
+        large = looked_up(now, low, "u").select("v", F.col("m").alias("u"))
         small_in = large.where("v != u").distinct()
         # small star: every smaller neighbour of v, and v, hang on the smallest
         least = small_in.groupBy("v").agg(F.min("u").alias("m"))
