@@ -63,8 +63,8 @@ def search(
         found = FileSearch(corpus, query, settings)
         n = found.results().limit(MOST_RESULTS + 1).count()
     count = query.options.get("count")
-    size = MOST_RESULTS if count == "all" else int(count or found.settings.count)
     total = min(n, MOST_RESULTS)
+    size = n if count == "all" else int(count or found.settings.count)
     return Answer(found.page(offset), total, n > MOST_RESULTS, offset + size if offset + size < total else None, found)
 
 

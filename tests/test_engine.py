@@ -11,6 +11,7 @@ from corpuscope.operators import joins, lookup, replace, structure
 from corpuscope.operators.files import Corpus, FileSearch, owners_of
 from corpuscope.operators.history import CommitSearch, History, files_at, names_over_time
 from corpuscope.plans.compiler import Settings, text_lines
+from corpuscope.plans.query import MOST_RESULTS
 from corpuscope.streaming.watch import apply_changes, start_watch, swept
 
 DATA = "/root/testdata/sf0.001"
@@ -355,3 +356,15 @@ def test_commit_bounds_reach_the_scan(spark):
 def test_a_template_is_searched_once(spark):
     found = FileSearch(queries.adapters.pages(spark, DATA), 'struct:"<h1>:[t]</h1>"', Settings(now=NOW)).lines()
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """More results than a page may ask for by number."""
+    files = spark.range(MOST_RESULTS + 10).selectExpr("'r' AS repo", "concat('f', lpad(id, 6, '0'), '.go') AS path", "'go' AS lang", "concat('a\\nring ', id) AS content")
+    return Corpus(files)
+
+
+def test_all_results_of_a_page(many):
+    page = FileSearch(many, "ring type:code order:file count:all").page().select("path").collect()
+    assert [r.path for r in page] == [f"f{k:06}.go" for k in range(MOST_RESULTS + 10)]
