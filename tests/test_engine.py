@@ -368,3 +368,9 @@ def many(spark):
 def test_all_results_of_a_page(many):
     page = FileSearch(many, "ring type:code order:file count:all").page().select("path").collect()
     assert [r.path for r in page] == [f"f{k:06}.go" for k in range(MOST_RESULTS + 10)]
+
+
+def test_all_results_with_marks(many):
+    search = FileSearch(many, "ring type:code count:all")
+    got = search.shown(search.page(), 1).selectExpr("path", "hits[0].start AS start", "before[0] AS before").collect()
+    assert len({r.path for r in got}) == len(got) == MOST_RESULTS + 10 and {(r.start, r.before) for r in got} == {(0, "a")}
