@@ -16,12 +16,12 @@ from corpuscope.operators.files import Corpus, FileSearch
 from corpuscope.operators.history import CommitSearch, History, as_of
 from corpuscope.operators.lookup import shifted_line
 from corpuscope.plans.compiler import Settings
-from corpuscope.plans.query import MOST_RESULTS, OPERATORS, RETIRED, Query, parse
+from corpuscope.plans.query import OPERATORS, RETIRED, Query, parse
 
 
 @dataclass
 class Answer:
-    """``items``: a page of results. ``total`` counts up to the most results; ``next_offset`` is where the next page begins, or None."""
+    """``items``: a page of results. ``total`` counts all results, so ``truncated`` is false; ``next_offset`` is where the next page begins, or None."""
 
     items: DataFrame
     total: int
@@ -56,16 +56,15 @@ def search(
         if history is None:
             raise ValueError("this query searches commits and no history is given")
         found: FileSearch | CommitSearch = CommitSearch(history, query, settings)
-        n = found.commits().limit(MOST_RESULTS + 1).count()
+        total = found.commits().count()
     else:
         if corpus is None:
             raise ValueError("this query searches files and no corpus is given")
         found = FileSearch(corpus, query, settings)
-        n = found.results().limit(MOST_RESULTS + 1).count()
+        total = found.results().count()
     count = query.options.get("count")
-    total = min(n, MOST_RESULTS)
-    size = n if count == "all" else int(count or found.settings.count)
-    return Answer(found.page(offset), total, n > MOST_RESULTS, offset + size if offset + size < total else None, found)
+    size = total if count == "all" else int(count or found.settings.count)
+    return Answer(found.page(offset), total, False, offset + size if offset + size < total else None, found)
 
 
 def batches(items: DataFrame, size: int = 200) -> Iterator[list]:

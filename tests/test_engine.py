@@ -6,7 +6,7 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from corpuscope import queries
+from corpuscope import api, queries
 from corpuscope.operators import joins, lookup, replace, structure
 from corpuscope.operators.files import Corpus, FileSearch, owners_of
 from corpuscope.operators.history import CommitSearch, History, files_at, names_over_time
@@ -374,3 +374,9 @@ def test_all_results_with_marks(many):
     search = FileSearch(many, "ring type:code count:all")
     got = search.shown(search.page(), 1).selectExpr("path", "hits[0].start AS start", "before[0] AS before").collect()
     assert len({r.path for r in got}) == len(got) == MOST_RESULTS + 10 and {(r.start, r.before) for r in got} == {(0, "a")}
+
+
+def test_totals_are_whole(many):
+    assert FileSearch(many, "ring type:code").total().collect() == [(MOST_RESULTS + 10, False)]
+    answer = api.search("ring type:code", corpus=many, offset=MOST_RESULTS)
+    assert (answer.total, answer.truncated, answer.next_offset) == (MOST_RESULTS + 10, False, None)
