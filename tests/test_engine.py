@@ -380,3 +380,8 @@ def test_totals_are_whole(many):
     assert FileSearch(many, "ring type:code").total().collect() == [(MOST_RESULTS + 10, False)]
     answer = api.search("ring type:code", corpus=many, offset=MOST_RESULTS)
     assert (answer.total, answer.truncated, answer.next_offset) == (MOST_RESULTS + 10, False, None)
+
+
+def test_what_whole_words_hide_among_many(many):
+    search = FileSearch(many, "word:yes rin type:code")
+    assert (search.relaxed(word="no").total().first().total, search.total().first().total) == (MOST_RESULTS + 10, 0)
