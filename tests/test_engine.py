@@ -385,3 +385,11 @@ def test_totals_are_whole(many):
 def test_what_whole_words_hide_among_many(many):
     search = FileSearch(many, "word:yes rin type:code")
     assert (search.relaxed(word="no").total().first().total, search.total().first().total) == (MOST_RESULTS + 10, 0)
+
+
+def test_templates_over_brackets_of_prose():
+    """A heading may hold a bracket without its partner; in code brackets still pair up."""
+    page = "<h1>Call +1 (</h1><p>535) 1</p><h1>:)</h1><h1>(a)</h1><h1>[1</h1>"
+    find = lambda text, lang, t: [text[a:b] for a, b in structure.find_structures(text, lang, t)[0]]
+    assert find(page, "html", "<h1>:[title]</h1>") == ["<h1>Call +1 (</h1>", "<h1>:)</h1>", "<h1>(a)</h1>", "<h1>[1</h1>"]
+    assert find("f(g(1, 2), 3)", "javascript", "f(:[x], :[y])") == ["f(g(1, 2), 3)"]
