@@ -393,3 +393,12 @@ def test_templates_over_brackets_of_prose():
     find = lambda text, lang, t: [text[a:b] for a, b in structure.find_structures(text, lang, t)[0]]
     assert find(page, "html", "<h1>:[title]</h1>") == ["<h1>Call +1 (</h1>", "<h1>:)</h1>", "<h1>(a)</h1>", "<h1>[1</h1>"]
     assert find("f(g(1, 2), 3)", "javascript", "f(:[x], :[y])") == ["f(g(1, 2), 3)"]
+
+
+def test_anchors_in_any_case(spark, tmp_path):
+    rows = [(1, "THE END.\nThe end", "en", "s"), (2, "the end.\nOn the.", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["text_regex_anchors"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.SQL["text_regex_anchors"]).fetchall()) == [("en/s/doc_1.txt", 1, "THE END."), ("en/s/doc_2.txt", 1, "the end.")]
