@@ -91,6 +91,44 @@ def test_planted_pairs_are_found(spark):
     assert not any(got[i].n_links for i in range(300, 3000))
 
 
+def threshold_pairs(n):
+    """Pairs at 0.95001 to 0.952 among vectors without links."""
+    rng = np.random.default_rng(14)
+    a, b = rng.standard_normal((n, 64)), rng.standard_normal((n, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (b * a).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = rng.uniform(0.95001, 0.952, n)[:, None]
+    return a, c * a + np.sqrt(1 - c * c) * b
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    a, b = threshold_pairs(6_000)
+    rows = [(i, v) for i, v in enumerate(a.tolist())] + [(10_000 + i, v) for i, v in enumerate(b.tolist())]
+    got = vector_copies.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got.where("n_links <> 1 OR component_id <> vec_id % 10000").count() == 0
+
+
+def test_bounds_hold_at_the_threshold():
+    a, b = threshold_pairs(3_000)
+    for size in (2, 5, 64):
+        x, y = (v[:, :size] / np.linalg.norm(v[:, :size], axis=1)[:, None] for v in (a, b))
+        near = np.flatnonzero((x * y).sum(axis=1) >= 0.95)
+        est = vector_copies.Estimator(size, 11)
+        _, signs, factor = est.code(x[near])
+        upper = est.bounds(signs, factor, est.code(y[near])[0], est.width(0.95))
+        assert len(near) and (np.diag(upper) >= 0.95 - vector_copies.ROUNDING).all()
+
+
+def test_bands_of_large_tables(spark, monkeypatch):
+    """Above ``WHOLE`` bands find the pairs, as on a smaller table all pairs do."""
+    rows = [(i, v) for i, v in vectors() if i is not None]
+    whole = sorted(tuple(r) for r in vector_copies.near_vectors(vector_frame(spark, rows)).collect())
+    monkeypatch.setattr(vector_copies, "WHOLE", 0)
+    assert vector_copies.band_plan(300, 0.95)[1] > 1
+    assert sorted(tuple(r) for r in vector_copies.near_vectors(vector_frame(spark, rows)).collect()) == whole
+
+
 def test_index_prunes_where_vectors_have_structure():
     """Tight groups far from each other: probes reach little more than a query's own group, and recall stays."""
     rng = np.random.default_rng(13)
@@ -296,3 +334,11 @@ def test_pipeline(spark, tmp_path):
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_links_that_bands_missed(spark, tmp_path):
+    """Two vectors of sf0.1 and their turned copies: the copies lie just above 0.95 and share no band."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id IN (1624, 1707)")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["vector_copies_turned"](spark, str(tmp_path)).collect()}
+    assert got == {i + k: (2, i) for i in (1624, 1707) for k in (0, 1_000_000, 2_000_000)}
