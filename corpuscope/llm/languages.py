@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import plus, small_batches, table
+from corpuscope.llm.common import lean, plus, small_batches, table
 
 #: N-grams are three bytes of UTF-8 in lower case, hashed to so many features.
 FEATURES = 1 << 15
@@ -97,7 +97,7 @@ def train(docs: DataFrame) -> Model:
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in lean(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(FEATURES, np.int64)
@@ -138,7 +138,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         langs, p = shared.value
         use = Model.__new__(Model)
         use.langs, use.p = langs, p.astype(float)
-        for batch in batches:
+        for batch in lean(batches):
             pred, score, mix = [], [], []
             for text in batch.column("text").to_pylist():
                 found, share = use.infer(text.encode()) if text and _LETTER.search(text) else ([], 0.0)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from corpuscope.llm.common import drop, kept, looked_up, sifted, small_batches
+from corpuscope.llm.common import drop, give_back, kept, lean, looked_up, sifted, small_batches
 from corpuscope.llm.components import components
 from corpuscope.llm.repeats import pack, unpack
 
@@ -160,7 +160,7 @@ def dealt(codes: DataFrame, bits: int, segments: int) -> DataFrame:
     code's first 128 bits."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in lean(batches):
             code = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(batch.num_rows, -1)
             keys = np.concatenate([segment_keys(c, bits, segments) for c in code]) if batch.num_rows else np.zeros(0, np.int32)
             short = pa.array([c[:2].tobytes() for c in code], pa.binary())
@@ -203,7 +203,7 @@ def easy_pairs(codes: DataFrame, bits: int, segments: int) -> DataFrame:
 
     def meet(batches):
         held = None
-        for part in gathered(batches):
+        for part in gathered(lean(batches)):
             run, ids, code, joined, n = part if held is None else (np.concatenate(x) for x in zip(held, part, strict=True))
             i, j, far = close_in_runs(run, code)
             pick = forest(i, j, far)
@@ -256,7 +256,7 @@ def other_pairs(codes: DataFrame, bits: int, segments: int, similarity: float) -
         return pa.RecordBatch.from_arrays([*fixed, pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64())], names=["segment", "key", "p", "q", "a", "b"])
 
     def meet(batches):
-        for run, ids, code, joined, n in whole_runs(gathered(batches)):
+        for run, ids, code, joined, n in whole_runs(gathered(lean(batches))):
             of = np.cumsum(np.concatenate([[0], run[1:] != run[:-1]]))
             most, count = PAIRS_A_ROW * np.bincount(of), np.zeros(of[-1] + 1, np.int64)
             met, held = np.zeros(len(run), bool), []
@@ -338,7 +338,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     width = max(2, -(-bits * segments // 64))
 
     def code(batches):
-        for batch in batches:
+        for batch in lean(batches):
             codes, sets, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
@@ -355,7 +355,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
     alone = firsts.select(F.col("first").alias("doc_id")).distinct()
 
     def verify(batches):
-        for batch in batches:
+        for batch in lean(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 p, q = unpack(x), unpack(y)
@@ -373,6 +373,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5)
         return put(pairs.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long"), f"links-{name}")
 
     def within(group):
+        give_back()
         sets, ids = [unpack(x) for x in group.column("shingles").to_pylist()], group.column("a").to_numpy()
         root = roots_of(sets, similarity)
         other = np.flatnonzero(ids[root] != ids)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corpuscope.llm.automaton import SuffixAutomaton
-from corpuscope.llm.common import aside, plus, table
+from corpuscope.llm.common import aside, give_back, plus, table
 
 WINDOW = 13
 #: Documents are dealt to groups of about so many bytes of text; a longer text fills a group of its own.
@@ -128,6 +128,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shift = np.uint64(64 - short)
 
     def announce(key, group):
+        give_back()
         own = Windows(group, window)
         low = own.hash >> shift
         order = np.lexsort((own.ids[own.doc], low))
@@ -141,6 +142,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return _table(rows, ["slice", "_group", "hashes", "several"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
     def compare(group):
+        give_back()
         who, parts = group.column("_group").to_pylist(), [unpack(x) for x in group.column("hashes").to_pylist()]
         v = np.concatenate(parts)
         several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).view(bool) for x, p in zip(group.column("several").to_pylist(), parts, strict=True)])
@@ -158,6 +160,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return _table(rows, ["_group", "hashes"], [pa.int32(), pa.binary()])
 
     def claim(key, group, replies):
+        give_back()
         rows = []
         if group.num_rows and replies.num_rows:
             own = Windows(group, window)
@@ -170,6 +173,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return _table(rows, ["slice", "_group", "hashes", "ids", "several"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
 
     def settle(group):
+        give_back()
         who, parts = np.array(group.column("_group").to_pylist(), np.int64), [unpack(x) for x in group.column("hashes").to_pylist()]
         sizes = [len(p) for p in parts]
         h, ids = np.concatenate(parts), np.concatenate([unpack_loose(x) for x in group.column("ids").to_pylist()])
@@ -189,6 +193,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return _table(rows, ["_group", "hashes", "takers"], [pa.int32(), pa.binary(), pa.binary()])
 
     def send(key, group, requests):
+        give_back()
         rows = []
         if group.num_rows and requests.num_rows:
             own = Windows(group, window)
@@ -212,6 +217,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     columns = docs.columns
 
     def strip(key, group, passages):
+        give_back()
         number: dict[bytes, int] = {}
         shard = []
         for owner, passage in zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True):

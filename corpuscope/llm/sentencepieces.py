@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm.common import small_batches, table
+from corpuscope.llm.common import HELD, small_batches, table
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -220,14 +220,11 @@ class Pieces:
         return ids.tobytes(), sha256(self.decode(ids.tolist()).encode()).hexdigest()
 
 
-_LOADED: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    """One per Python worker, kept from task to task."""
-    if path not in _LOADED:
-        _LOADED[path] = Pieces(path)
-    return _LOADED[path]
+    """One per Python worker, kept from task to task of this operator."""
+    if path not in HELD:
+        HELD[path] = Pieces(path)
+    return HELD[path]
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from corpuscope.llm import neighbours, pages, vector_copies
+from corpuscope.llm import common, neighbours, pages, sentencepieces, vector_copies
 from corpuscope.llm.registry import ORACLE_SQL, QUERIES
 
 from .data import documents, frame, words
@@ -342,3 +342,14 @@ def test_links_that_bands_missed(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["vector_copies_turned"](spark, str(tmp_path)).collect()}
     assert got == {i + k: (2, i) for i in (1624, 1707) for k in (0, 1_000_000, 2_000_000)}
+
+
+def test_workers_let_go_between_operators():
+    """A worker that encoded pieces drops the vocabulary and the cache when a task of another operator begins."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    first = sentencepieces.pieces(path)
+    assert sentencepieces.pieces(path) is first
+    assert list(common.lean(iter([1, 2]))) == [1, 2]
+    assert not common.HELD and sentencepieces.pieces(path) is not first
