@@ -83,7 +83,7 @@ def as_text(items: DataFrame, form: str = "text") -> DataFrame:
     """One column ``value``: ``text`` (path:line: text), ``vimgrep`` (with a column), ``json`` or ``markdown`` (by file)."""
     line = F.coalesce(F.col("line").cast("string"), F.lit("0"))
     if form == "json":
-        return items.select(F.to_json(F.struct(*items.columns)).alias("value"))
+        return items.select(F.to_json(F.struct(*[c for c in items.columns if c != "file"])).alias("value"))
     if form == "markdown":
         rows = F.transform(F.sort_array(F.collect_list(F.struct("line", "text"))), lambda x: F.concat(F.lit("- "), F.coalesce(x["line"].cast("string"), F.lit("")), F.lit(": `"), F.coalesce(x["text"], F.lit("")), F.lit("`")))
         return items.groupBy("repo", "path").agg(rows.alias("r")).select(F.concat(F.lit("## "), "repo", F.lit("/"), "path", F.lit("\n"), F.array_join("r", "\n")).alias("value"))

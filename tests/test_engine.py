@@ -402,3 +402,24 @@ def test_anchors_in_any_case(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.SQL["text_regex_anchors"]).fetchall()) == [("en/s/doc_1.txt", 1, "THE END."), ("en/s/doc_2.txt", 1, "the end.")]
+
+
+def test_files_of_one_path(spark):
+    """Each result is ranked and shown by its own file, where a table has several files of one path, or files without a repo."""
+    rows = [("r", "a.go", "go", "one\nring", True), ("r", "a.go", "go", "two\nring", False), ("r", "a.go", "go", "two\nring", False), (None, "b.go", "go", "three\nring", False)]
+    corpus = Corpus(spark.createDataFrame(rows, "repo string, path string, lang string, content string, open boolean"))
+    search = FileSearch(corpus, "ring type:code count:all", Settings(now=NOW))
+    shown = search.shown(search.page(), 1).collect()
+    assert sorted((r.path, r.line, r.before[0], r.score) for r in shown) == [("a.go", 2, "one", 30), ("a.go", 2, "two", 0), ("a.go", 2, "two", 0), ("b.go", 2, "three", 0)]
+    assert [r.path for r in search.regrouped(search.page()).collect()] == ["a.go", "a.go", "a.go", "b.go"]
+    names = FileSearch(corpus, "go type:file count:all", Settings(now=NOW)).page().collect()
+    assert [(r.path, r.score) for r in names] == [("a.go", 35), ("a.go", 5), ("a.go", 5), ("b.go", 5)]
+
+
+@pytest.mark.parametrize("name", ["line_marks", "count_all", "symbol_or_kind", "all_sections"])
+def test_repeated_parts_agree_with_sql(spark, tmp_path, name):
+    duckdb.sql(f"COPY (SELECT p.* FROM '{DATA}/part.parquet' p, range(3)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, con.sql(queries.SQL[name]).fetchall()))
