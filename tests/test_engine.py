@@ -436,3 +436,15 @@ def test_odd_parts_agree_with_sql(spark, tmp_path, name):
     df = queries.QUERIES[name](spark, str(tmp_path))
     want = con.sql(queries.SQL[name]).fetchall()
     assert want and sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+
+
+def test_marks_as_typed_agree_with_sql(spark, tmp_path):
+    """The mark is the first match in the case it was typed in, by code points; a line that has only others has none."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE part AS SELECT * FROM '{DATA}/part.parquet' LIMIT 0")
+    names = ["RING red", "RING ring", "\U0001f600 ring", "\U0001f600\U0001f600 Ring ring ring", "caf\u00e9 ring", "red"]
+    con.executemany("INSERT INTO part VALUES (?, ?, 'Brand RING', 'LARGE', 20, 1.0)", list(enumerate(names)))
+    con.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    got = sorted(map(str, map(tuple, queries.QUERIES["line_marks"](spark, str(tmp_path)).collect())))
+    want = con.sql(queries.SQL["line_marks"]).fetchall()
+    assert {r[2] for r in want} >= {-1, 2, 5, 8} and got == sorted(map(str, want))
